@@ -116,7 +116,33 @@ def shingles(word_hash: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray
     return mix(h[at]), at
 
 
-# --- components ----------------------------------------------------------------------------
+# --- buckets and components ----------------------------------------------------------------------------
+
+
+def deal(placed: DataFrame, bucket: str, row: str, tile: int) -> DataFrame:
+    """placed with bigint ``g`` and tinyint ``side``: the group in which a row of ``bucket`` meets the others.
+
+    A bucket of up to ``tile`` rows is one group with side 0. A larger one is cut into chunks by the hash of ``row``, and each
+    pair of chunks is a group: side 0 where a chunk meets itself, else 1 against 2. So every pair of a bucket meets in exactly one
+    group, and no group holds more than about two chunks.
+    """
+    large = placed.groupBy(F.col(bucket).alias("_l")).count().where(F.col("count") > tile)
+    large = pinned(large.select("_l", F.ceil(F.col("count") / tile).cast("int").alias("_n")))
+    whole = F.array(F.struct(F.col(bucket).alias("g"), F.lit(0).cast("tinyint").alias("side")))
+    if large.isEmpty():
+        return placed.withColumn("g", F.col(bucket)).withColumn("side", F.lit(0).cast("tinyint"))
+    rows = placed.join(large, placed[bucket] == large["_l"], "left")
+    rows = rows.withColumn("_c", F.pmod(F.xxhash64(row, F.lit(1)), "_n").cast("int"))
+    c = F.col("_c")
+    tiles = F.transform(
+        F.sequence(F.lit(0), F.col("_n") - 1),
+        lambda o: F.struct(
+            F.xxhash64(bucket, F.least(c, o), F.greatest(c, o)).alias("g"),
+            F.when(o == c, 0).when(c < o, 1).otherwise(2).cast("tinyint").alias("side"),
+        ),
+    )
+    rows = rows.withColumn("_t", F.explode(F.when(F.col("_n").isNull(), whole).otherwise(tiles)))
+    return rows.withColumn("g", F.col("_t.g")).withColumn("side", F.col("_t.side")).drop("_l", "_n", "_c", "_t")
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:

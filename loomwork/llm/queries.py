@@ -15,6 +15,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.embedding_dedup import near_vectors
+
+    return near_vectors(read(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.decontamination import find_passages
+
+    return find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.sharding import shard_rows
 
@@ -46,7 +58,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_feistel_sharding, op7_harmonic_packing, op8_simhash_dedup, op9_orc_tokens, op10_secret_scan)}
+    return {f.__name__: f for f in (op4_embedding_near_dedup, op5_decontamination, op6_feistel_sharding, op7_harmonic_packing, op8_simhash_dedup, op9_orc_tokens, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

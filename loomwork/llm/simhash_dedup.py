@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import connected_components, local_roots, parts, pinned, texts_buffer
+from loomwork.llm.common import connected_components, deal, local_roots, parts, pinned, texts_buffer
 
 BITS = 64
 
@@ -132,23 +132,7 @@ def links(reps: DataFrame, most: int = 4, n_pivots: int = 12, tile: int = 8192)
     refs = pivots(n_pivots)
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(bits))) for bits in plan])
     placed = reps.select("id", "fp", F.posexplode(keys).alias("k", "v")).withColumn("b", F.xxhash64("k", "v"))
-    large = placed.groupBy("b").count().where(F.col("count") > tile)
-    large = pinned(large.select("b", F.ceil(F.col("count") / tile).cast("int").alias("n")))
-    if large.isEmpty():
-        dealt = placed.select("id", "fp", F.col("b").alias("g"), F.lit(0).cast("tinyint").alias("side"))
-    else:
-        c = F.pmod(F.xxhash64("id", F.lit(1)), "n").cast("int")
-        tiles = F.transform(
-            F.sequence(F.lit(0), F.col("n") - 1),
-            lambda o: F.struct(
-                F.xxhash64("b", F.least("c", o), F.greatest("c", o)).alias("g"),
-                F.when(o == F.col("c"), 0).when(F.col("c") < o, 1).otherwise(2).cast("tinyint").alias("side"),
-            ),
-        )
-        whole = F.array(F.struct(F.col("b").alias("g"), F.lit(0).cast("tinyint").alias("side")))
-        dealt = placed.join(large, "b", "left").withColumn("c", c)
-        dealt = dealt.select("id", "fp", F.explode(F.when(F.col("n").isNull(), whole).otherwise(tiles)).alias("t"))
-        dealt = dealt.select("id", "fp", "t.g", "t.side")
+    dealt = deal(placed, "b", "id", tile)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -169,7 +153,7 @@ def links(reps: DataFrame, most: int = 4, n_pivots: int = 12, tile: int = 8192)
         if held:
             yield done(True)
 
-    sorted_ = dealt.repartition("g").sortWithinPartitions("g")
+    sorted_ = dealt.select("id", "fp", "g", "side").repartition("g").sortWithinPartitions("g")
     return sorted_.mapInArrow(pairs, "a bigint, b bigint")
 
 
