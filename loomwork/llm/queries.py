@@ -15,6 +15,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.license_scan import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.pii import find_pii
+
+    return find_pii(read(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.language_id import identify
+
+    return identify(read(spark, sf_dir, "documents"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.embedding_dedup import near_vectors
 
@@ -58,7 +76,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_embedding_near_dedup, op5_decontamination, op6_feistel_sharding, op7_harmonic_packing, op8_simhash_dedup, op9_orc_tokens, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii_spans, op3_language_id, op4_embedding_near_dedup, op5_decontamination, op6_feistel_sharding, op7_harmonic_packing, op8_simhash_dedup, op9_orc_tokens, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
