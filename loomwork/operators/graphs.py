@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """The rows in the folder of spark.checkpoint.dir, with a short lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomwork-"))
-    return df.checkpoint()
+from loomwork.operators.storage import saved
 
 
 def both_ways(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

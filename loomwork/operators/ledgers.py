@@ -85,30 +85,3 @@ def publish(revisions: DataFrame, key: str, chosen: Column) -> DataFrame:
     any_ = F.max((chosen & (F.col("status") == "ready")).cast("int")).over(Window.partitionBy(key)) == 1
     new = F.when(chosen & (F.col("status") == "ready"), "published").when(any_ & F.col("is_current"), "superseded").otherwise(F.col("status"))
     return revisions.withColumn("new_status", new)
-
-
-def breaker(calls: list[tuple[float, bool]], limit: int, cooldown: float) -> list[bool]:
-    """Whether each call (seconds, failed), in order, is let through: ``limit`` failures open the circuit for ``cooldown`` seconds from the last; success resets it."""
-    failures, last, out = 0, None, []
-    for at, failed in calls:
-        is_open = failures >= limit and last is not None and at - last < cooldown
-        out.append(not is_open)
-        if is_open:
-            continue
-        if failed:
-            failures, last = failures + 1, at
-        else:
-            failures = 0
-    return out
-
-
-def limiter(calls: list[float], most: int, seconds: float) -> list[bool]:
-    """Whether each call, in order, is granted: at most ``most`` granted ones in the last ``seconds``; denied ones don't count."""
-    granted, out = [], []
-    for at in calls:
-        granted = [g for g in granted if at - g < seconds]
-        ok = len(granted) < most
-        out.append(ok)
-        if ok:
-            granted.append(at)
-    return out
