@@ -1,0 +1,83 @@
+import itertools
+import random
+
+from pyspark.sql import functions as F
+
+from loomwork.functions import text as x
+from loomwork.operators import lines as ln
+from loomwork.operators import names as nm
+from loomwork.sources import files
+
+
+def one(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
+def test_tokens_of_latin_and_han(spark):
+    assert one(spark, x.tokens(F.lit("The Wi-Fi 802.11ax and 無線網路 are v1."))) == ["wi-fi", "wi", "fi", "wifi", "802.11ax", "802", "11ax", "80211ax", "無線", "線網", "網路", "v1"]
+    assert one(spark, x.tokens(F.lit(None).cast("string"))) == [] and one(spark, x.query_terms(F.lit("of 中 of 中"))) == ["中"]
+
+
+def test_concept_keys(spark):
+    assert one(spark, x.concept_key(F.lit("Trigger Frames"), ["frame"])) == "trigger"
+    assert one(spark, x.concept_key(F.lit("Frames"), ["frame"])) == "frame"
+    assert one(spark, x.concept_key(F.lit("A + Policies–Class"))) == "apluspolicyclass"
+    assert one(spark, x.acronym(F.lit("target wake (x) time"))) == "TWT" and one(spark, x.acronym(F.lit("single"))) is None
+
+
+def test_rates_of_any_prefix(spark):
+    assert one(spark, x.megabits(F.lit("1.2 Gbps"))) == one(spark, x.megabits(F.lit("1200 mbps"))) == 1200.0
+    assert one(spark, x.megabits(F.lit("fast"))) is None
+
+
+def test_alike_names_equal_brute_force(spark):
+    random.seed(1)
+    names = sorted({"".join(random.choice("abc ") for _ in range(random.randint(1, 14))) for _ in range(150)})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row, was = [i], row
+            for j, d in enumerate(b, 1):
+                row.append(min(was[j] + 1, row[-1] + 1, was[j - 1] + (c != d)))
+        return row[-1]
+
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    for ratio in (0.7, 0.85):
+        want = {(a, b) for a, b in itertools.combinations(names, 2) if 1 - distance(a, b) / max(len(a), len(b)) >= ratio}
+        assert {(r["a"], r["b"]) for r in nm.similar_names(df, ratio).collect()} == want
+
+
+def test_packing_rules():
+    text = "# One\n" + "a" * 120 + "\n" + "b" * 450 + "\n# Two\nshort\n" + "c" * 1100
+    assert [(h, len(c)) for h, c in ln.by_headings(text)] == [("# One", 120), ("# One", 450), ("# Two", 500), ("# Two", 500), ("# Two", 100)]
+    assert [len(c) for (c,) in ln.by_paragraphs("x" * 300 + "\n\n" + "y" * 200 + "\n\n" + "z" * 50)] == [502]
+    assert "".join(c for (c,) in ln.by_budget("p" * 2000 + "\n\nq")).replace("\n", "") == "p" * 2000 + "q"
+    assert ln.by_headings("") == ln.by_paragraphs("") == ln.by_budget("") == ln.by_width("") == []
+
+
+def test_claims_take_the_references_of_their_line_or_introduction():
+    got = ln.claims("# Heading here\nThese are supported [S2]:\n- The first feature is here\n- The second feature [S3]\n```\nnot a claim at all\n```\nA plain sentence of text. Another sentence here [S1].")
+    assert got == [("These are supported", "S2"), ("The first feature is here", "S2"), ("The second feature", "S3"), ("A plain sentence of text.", "S1"), ("Another sentence here .", "S1")]
+
+
+def test_sections_end_at_the_same_or_a_higher_level(spark):
+    rows = spark.createDataFrame([(1, 0, 1), (1, 1, None), (1, 2, 2), (1, 3, 2), (1, 5, 1)], "d int, idx bigint, level int")
+    assert {r["idx"]: r["until"] for r in ln.sections(rows, "d", "level", 2).collect()} == {0: 5, 2: 3, 3: 5, 5: None}
+
+
+def test_wide_tables_become_long(spark):
+    cells = [("s", 0, 1, "a"), ("s", 0, 2, "b"), ("s", 1, 0, "x"), ("s", 1, 1, "1"), ("s", 1, 2, "n/a"), ("s", 2, 0, ""), ("s", 2, 1, "2.5")]
+    got = files.wide_to_long(spark.createDataFrame(cells, "sheet string, row int, col int, value string")).collect()
+    assert sorted((r["row"], r["label"], r["heading"], r["value"]) for r in got) == [(1, "x", "a", 1.0), (2, "x", "a", 2.5)]
+
+
+def test_broken_log_lines_are_left_out(spark, tmp_path):
+    (tmp_path / "log").write_text('x QUALITY {"a": 1}\ny\nQUALITY {"a": \nz QUALITY {"a": 2}\n')
+    assert sorted(r["a"] for r in files.read_log(spark, str(tmp_path / "log"), "QUALITY ", "a int").collect()) == [1, 2]
+
+
+def test_encodings_in_turn(spark):
+    rows = [("a", "é".encode()), ("b", "中文".encode("big5")), ("c", b"\xff\xff\xff")]
+    got = {r["path"]: (r["encoding"], r["text"]) for r in files.decoded(spark.createDataFrame(rows, "path string, content binary"), ("utf-8-sig", "big5")).collect()}
+    assert got == {"a": ("utf-8-sig", "é"), "b": ("big5", "中文"), "c": (None, None)}
