@@ -43,9 +43,9 @@ def measurement_stats(points: DataFrame, runs: DataFrame, series: Sequence[str],
     rows = points.join(runs.select("run_id", "product_id"), "run_id")
     stats = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), rounded(exact_sum("value"), 4).alias("total"), mean("value").alias("average"), F.min("value").alias("minimum"),
-        F.max("value").alias("maximum"), rounded(F.percentile("value", 0.5), 4).alias("median"), rounded(F.percentile("value", 0.95), 4).alias("p95"),
-        F.min("sample").alias("first_no"), F.max("sample").alias("last_no"),
+        F.max("value").alias("maximum"), F.percentile("value", F.array(F.lit(0.5), F.lit(0.95))).alias("_p"), F.min("sample").alias("first_no"), F.max("sample").alias("last_no"),
     )
+    stats = stats.withColumn("median", rounded(F.col("_p")[0])).withColumn("p95", rounded(F.col("_p")[1])).drop("_p")
     small = stats.where(F.col("n") <= listed).select(*[F.col(k).alias(f"_k_{k}") for k in keys])
     short = rows.join(small, all_of([F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]), "left_semi")
     values = short.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sample", "cell", "value"))).alias("v"))

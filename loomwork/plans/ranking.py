@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import text as x
 from loomwork.operators import retrieval as r
 from loomwork.operators.common import mean, place, rounded, share
+from loomwork.operators.storage import saved
 from loomwork.plans import sqltext as sql
 from loomwork.plans.registry import query
 
@@ -22,11 +23,12 @@ def doc_questions(t) -> DataFrame:
 
 
 def doc_postings(t) -> DataFrame:
-    return r.postings(t["documents"], _DOC)
+    """The index of a search is a table: it is written once and read by each step."""
+    return saved(r.postings(t["documents"], _DOC))
 
 
 def chunk_postings(t) -> DataFrame:
-    return r.postings(t.chunk, _CHUNK, "body")
+    return saved(r.postings(t.chunk, _CHUNK, "body"))
 
 
 def vector_questions(t) -> DataFrame:
