@@ -121,12 +121,13 @@ def _scan(x: Index, s: np.ndarray, pos: np.ndarray, row: np.ndarray, least: floa
     by_doc: dict[int, list] = {}
     for m in found:
         by_doc.setdefault(m[0], []).append(m)
-    return [m for m in found if not any(o[2] > m[2] and o[3] <= m[4] and m[3] <= o[4] for o in by_doc[m[0]])]
+    shared = lambda m: m[2] * len(x.sets[m[1]])
+    return [m for m in found if not any(o[2] > m[2] and shared(o) >= shared(m) and o[3] <= m[4] and m[3] <= o[4] for o in by_doc[m[0]])]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """(doc_id, license, containment, first_word, last_word): for each document row and template, the best place where ``least`` or
-    more of the template's distinct five-word shingles stand together, unless a template with a higher containment overlaps it (another version of a license); words count from 0, case and punctuation are ignored.
+    more of the template's distinct five-word shingles stand together, unless a template with a higher containment and as many shingles in common overlaps it (another version of a license); words count from 0, case and punctuation are ignored.
 
     Null, empty and shorter texts match nothing; repeated rows give rows of their own; other columns are ignored. Templates
     are a fixed small set that goes to the tasks with the code; documents are read in place and never shuffled.
