@@ -39,7 +39,7 @@ def align(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Items:
-    """A block of benchmark items: word hashes, all their n-grams, and (after ``choose``) the rarest n-gram of every stretch."""
+    """A block of benchmark items: word hashes, all their n-grams, and (after ``choose``) those that serve as seeds."""
 
     def __init__(self, ids: list, texts: list[str | None]):
         data, offsets = texts_buffer(pa.array(texts, pa.string()))
@@ -57,13 +57,14 @@ class Items:
         self.lengths = np.unique(self.length).tolist()
         self.known = np.unique(self.gram)
 
-    def choose(self, found: dict[int, int], stretch: int) -> None:
-        """Keep as seeds the gram found in the fewest documents of each run of ``stretch`` grams of an item."""
+    def choose(self, found: dict[int, int], stretch: int, rare: int) -> None:
+        """Keep as seeds all grams found in at most ``rare`` documents, and the rarest gram of each run of ``stretch`` grams of an item."""
         count = np.array([found.get(int(g.view(np.int64)), 0) for g in self.known], np.int64)
         rarity = count[np.searchsorted(self.known, self.gram)]
         key = self.item * (1 << 32) + self.offset // stretch
         order = np.lexsort((self.offset, rarity, key))
         first = order[np.concatenate(([True], np.diff(key[order]) != 0))] if len(order) else order
+        first = np.union1d(first, np.flatnonzero(rarity <= rare))
         first = first[np.argsort(self.gram[first], kind="stable")]
         self.seed, self.seed_item, self.seed_offset = self.gram[first], self.item[first], self.offset[first]
 
@@ -119,7 +120,7 @@ def _blocks(docs: DataFrame, items: DataFrame, block_items: int, stretch: int) -
     """Benchmark items in blocks of about ``block_items``, with their seeds chosen by counts over all documents."""
     sc = docs.sparkSession.sparkContext
     items = items.select("item_id", "text")
-    n = items.count()
+    n, rare = items.count(), max(8, docs.count() // 1000)
     blocks = -(-n // block_items)
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
@@ -144,7 +145,7 @@ def _blocks(docs: DataFrame, items: DataFrame, block_items: int, stretch: int) -
             yield pa.RecordBatch.from_arrays([pa.array(x.known[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
 
         counts = docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n"))
-        x.choose(dict(map(tuple, counts.collect())), stretch)  # at most one number for each gram of the block
+        x.choose(dict(map(tuple, counts.collect())), stretch, rare)  # at most one number for each gram of the block
         yield sc.broadcast(x)
 
 
@@ -152,7 +153,8 @@ def find_passages(docs: DataFrame, items: DataFrame, least: float = 0.5, stretch
     """(doc_id, item_id, score, first_word, last_word): the best passage of each document row and benchmark item whose alignment
     scores ``least`` or more of a full match; words count from 0.
 
-    Every ``stretch`` 3-grams of an item give the one that the fewest documents hold as a seed; any document with a seed is aligned around it.
+    Seeds are the 3-grams of an item that a thousandth of the documents or fewer hold, and of every ``stretch`` 3-grams the one that the
+    fewest hold, however many that are; any document with a seed is aligned around it.
     Null or empty texts and items match nothing. Items that repeat and documents that repeat give rows of their own. Documents are read in
     place and never shuffled; items are taken in blocks of a bounded size.
     """
