@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import pinned
-from loomwork.llm.tokens import word_ids
+from loomwork.llm.tokens import batches_of, word_ids
 
 END_ID = 1
 
@@ -45,16 +45,16 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
         task, number = TaskContext.get().partitionId(), Counter()
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "number"]
         for batch in batches:
-            rows = [[] for _ in names]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(word_ids(path, text.as_py() or "") + END_ID.to_bytes(4, "little"))
-                at, n = 0, len(ids) // 4
-                for size in cuts(n, capacity):
-                    for column, x in zip(rows, (doc, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n, task, number[size]), strict=True):
-                        column.append(x)
-                    number[size] += 1
-                    at += size
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names)
+            for low, texts in batches_of(batch.column(1)):
+                rows = []
+                for doc, found in zip(batch.column(0).slice(low, len(texts)).to_pylist(), word_ids(path, texts), strict=True):
+                    ids = memoryview(found + END_ID.to_bytes(4, "little"))
+                    at, n = 0, len(ids) // 4
+                    for size in cuts(n, capacity):
+                        rows.append((doc, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n, task, number[size]))
+                        number[size] += 1
+                        at += size
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task bigint, number bigint"
     pieces = pinned(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(each, schema))

@@ -13,47 +13,38 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import shared_dir
-from loomwork.llm.tokens import byte_ids
+from loomwork.llm.tokens import batches_of, byte_ids
 
 END_ID = 2
-_IDS_PER_BATCH = 1 << 20
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, out: str, stripe_bytes: int = 16 << 20, index_rows: int = 2000) -> None:
-    """Encode each text (null: empty) with END_ID after it and write (doc_id, part, part_start, ids) as ORC in ascending doc_id order.
+    """Encode each text (null: empty) with END_ID after it and write (doc_id, part, part_start, n, ids) as ORC in ascending doc_id order.
 
-    Files are ranges of doc_id in the order of ``part``; part_start counts the ids before the row in its file. Equal doc_ids stay in one
+    Files are ranges of doc_id in the order of ``part``; part_start counts the ids before the row in its file, n those of the row. Equal doc_ids stay in one
     file; a null doc_id comes first. Stripes let readers split files; min/max row indexes and Bloom filters prune by doc_id.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        names = ["doc_id", "part", "part_start", "ids"]
+        names = ["doc_id", "part", "part_start", "n", "ids"]
 
         def made(keys, starts, chunks):
             sizes = np.fromiter(map(len, chunks), np.int64, len(chunks)) // 4
             values = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(chunks))])
             ids = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), values)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([part] * len(keys), pa.int32()), pa.array(starts, pa.int64()), ids], names)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([part] * len(keys), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), ids], names)
 
         for batch in batches:
-            keys, starts, chunks, held = [], [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = byte_ids(tokenizer, text.as_py() or "") + END_ID.to_bytes(4, "little")
-                keys.append(doc)
-                starts.append(at)
-                chunks.append(ids)
-                at += len(ids) // 4
-                held += len(ids) // 4
-                if held >= _IDS_PER_BATCH:
-                    yield made(keys, starts, chunks)
-                    keys, starts, chunks, held = [], [], [], 0
-            if keys:
-                yield made(keys, starts, chunks)
+            for low, texts in batches_of(batch.column(1)):
+                chunks = [ids + END_ID.to_bytes(4, "little") for ids in byte_ids(tokenizer, texts)]
+                starts = np.cumsum([at, *(len(c) // 4 for c in chunks)])
+                at = int(starts[-1])
+                yield made(batch.column(0).slice(low, len(texts)).to_pylist(), starts[:-1], chunks)
 
     ordered = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    encoded = ordered.mapInArrow(each, "doc_id bigint, part int, part_start bigint, ids array<int>")
+    encoded = ordered.mapInArrow(each, "doc_id bigint, part int, part_start bigint, n bigint, ids array<int>")
     (
         encoded.write.option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", index_rows).option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01).orc(out)
@@ -61,8 +52,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, stripe_bytes: int =
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, part, part_start, ids); filters on doc_id are pushed to stripe statistics and Bloom filters."""
-    return spark.read.schema("doc_id bigint, part int, part_start bigint, ids array<int>").orc(path)
+    """(doc_id, part, part_start, n, ids); filters on doc_id are pushed to stripe statistics and Bloom filters."""
+    return spark.read.schema("doc_id bigint, part int, part_start bigint, n bigint, ids array<int>").orc(path)
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +64,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(3)
+            ids = batch.column(4)
             values = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False))
             offsets = ids.offsets.to_numpy().tolist()
             crcs = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -83,7 +74,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
             )
 
     rows = read_tokens(spark, path).mapInArrow(each, "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids_crc32 bigint")
-    sums = read_tokens(spark, path).groupBy("part").agg(F.max(F.col("part_start") + F.size("ids")).alias("n"))
+    sums = read_tokens(spark, path).groupBy("part").agg(F.max(F.col("part_start") + F.col("n")).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.join(sums.select("part", before.alias("before")), "part")
     return rows.select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -3,55 +3,124 @@
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-#: Pieces a worker remembers before it starts afresh.
+from loomwork.llm.common import parts, texts_buffer
+
+#: Pieces of one generation of the cache; when it is full it becomes the old one, and pieces still in use move on.
 CACHE_PIECES = 300_000
+_TOGETHER = 500
 
 _ODD_SPACE = re.compile(r"[ \n]\s|\s[ \n]")
 _SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_STOPS = ".,;:!?)\"|*#$%"
 
 
-class _Cache(dict):
-    def __init__(self, encode):
-        self.encode = encode
+class Encoder:
+    """Ids of texts whose pieces, cut at spaces and line ends, can be encoded apart.
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        ids = np.array(self.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+    ``lead`` is what a word piece begins with. New words are encoded many at a time: a word of letters alone is one word to the
+    tokenizer too, and the ids at which words end (or begin) are known from the vocabulary.
+    """
 
+    def __init__(self, path: str, lead: str):
+        from tokenizers import Tokenizer
+
+        self.t = Tokenizer.from_file(path)
+        self.t.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.lead, self.new, self.old = lead, {}, {}
+        edge = np.zeros(self.t.get_vocab_size() + 1, bool)
+        for token, i in self.t.get_vocab().items():
+            edge[i] = token.startswith("Ġ") if lead else token.endswith("</w>")
+        self.edge = edge
+
+    def cut(self, text: str) -> list[str]:
+        if not self.lead:  # white space and case are dropped anyway
+            return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\n", " ").split(" ")
+        if "\0" in text or _ODD_SPACE.search(text):
+            return _SAFE_CUT.split(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+
+    def one(self, piece: str) -> bytes:
+        return array("I", self.t.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def words(self, some: list[str]) -> Iterator[bytes]:
+        """Ids of each of ``some`` words of letters, encoded in one go."""
+        joined = "".join(some) if self.lead else " ".join(some)
+        ids = np.array(self.t.encode(joined, add_special_tokens=False).ids, "<u4")
+        at = np.flatnonzero(self.edge[ids])
+        starts, ends = (at, [*at[1:], len(ids)]) if self.lead else ([0, *(at[:-1] + 1)], at + 1)
+        if len(at) != len(some):
+            raise ValueError("words and ids don't match")
+        return (ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True))
+
+    def learn(self, pieces: set[str]) -> None:
+        """Put all of ``pieces`` into the cache."""
+        if len(self.new) > CACHE_PIECES:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        k, plain, whole, marked = len(self.lead), [], set(), []
+        for p in pieces:
+            if p in new:
+                continue
+            if p in old:
+                new[p] = old[p]
+            elif p[k:].isalpha() and p.startswith(self.lead):
+                plain.append(p)
+            else:
+                body = p.rstrip(_STOPS)  # a word and the marks after it are tokens of their own
+                if body != p and body[-1:].isascii() and body[-1:].isalnum():
+                    marked.append((p, body, p[len(body) :]))
+                    whole.update((body, p[len(body) :]))
+                else:
+                    whole.add(p)
+        words = {p for p in whole if p not in new and p[k:].isalpha() and p.startswith(self.lead)}
+        plain = [*plain, *words.difference(plain)]
+        for at in range(0, len(plain), _TOGETHER):
+            some = plain[at : at + _TOGETHER]
+            new.update(zip(some, self.words(some), strict=True))
+        for p in whole:
+            if p not in new:
+                new[p] = self.one(p)
+        for p, body, marks in marked:
+            new[p] = new[body] + new[marks]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut(t) for t in texts]
+        pieces: set[str] = set()
+        for c in cut:
+            pieces.update(c)
+        self.learn(pieces)
+        found = self.new.__getitem__
+        return [b"".join(map(found, c)) for c in cut]
 
-@lru_cache(maxsize=4)
-def _cache(path: str) -> _Cache:
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return _Cache(t.encode)
+@lru_cache(maxsize=4)
+def _encoder(path: str, lead: str) -> Encoder:
+    return Encoder(path, lead)
 
 
-def word_ids(path: str, text: str) -> bytes:
-    """Little-endian 32-bit ids of a tokenizer that drops white space: texts split at spaces and line ends
-    without changing the ids."""
-    found = _cache(path)
-    return b"".join([found[p] for p in text.replace("\n", " ").split(" ") if p])
+def word_ids(path: str, texts: list[str]) -> list[bytes]:
+    """Little-endian 32-bit ids of texts by a tokenizer that drops white space and case and marks the ends of words."""
+    return _encoder(path, "").ids(texts)
 
 
-def byte_ids(path: str, text: str) -> bytes:
-    """Little-endian 32-bit ids of a byte-level tokenizer whose words take the space before them.
+def byte_ids(path: str, texts: list[str]) -> list[bytes]:
+    """Little-endian 32-bit ids of texts by a byte-level tokenizer whose words take the space before them.
 
     A cut before a single space or line end between two other characters separates no token: a word never reaches over
     it, and what follows is read alike with or without what comes before.
     """
-    found = _cache(path)
-    if "\0" in text or _ODD_SPACE.search(text):
-        pieces = _SAFE_CUT.split(text)
-    else:
-        pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-    return b"".join([found[p] for p in pieces if p])
+    return _encoder(path, " ").ids(texts)
+
+
+def batches_of(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of stretches of a string column of a few MB; a null counts as empty."""
+    _, offsets = texts_buffer(column)
+    for low, high in parts(offsets):
+        yield low, [t or "" for t in column.slice(low, high - low).to_pylist()]
