@@ -50,21 +50,16 @@ def merge_names(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     return comp.join(best, "component").select(F.col("node").alias("name"), "canonical")
 
 
-def reachable(edges: DataFrame, start: DataFrame, most: int = 50) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(start, node): all that can be reached from start(node) along edges(a, b) in either direction, the start itself too.
 
-    Frontier rounds end when nothing new is found; a cycle doesn't keep them going.
+    Edges lead both ways, so that is the component of the start, however many steps away.
     """
-    way = saved(both_ways(edges).select("a", "b").distinct())
-    seen = saved(start.select(F.col("node").alias("start"), "node").distinct())
-    front = seen
-    for _ in range(most):
-        new = front.join(way, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
-        front = saved(new.join(seen, ["start", "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen = saved(seen.unionAll(front))
-    return seen
+    comp = saved(components(edges))
+    asked = start.select(F.col("node").alias("start")).distinct()
+    mine = asked.join(comp, F.col("start") == F.col("node"), "left").select("start", "component")
+    out = mine.join(comp, "component").select("start", "node")
+    return out.unionAll(mine.where("component is null").select("start", F.col("start").alias("node")))
 
 
 def shared_neighbours(edges: DataFrame, asked: DataFrame, left: str, right: str) -> DataFrame:

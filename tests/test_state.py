@@ -71,6 +71,12 @@ def test_components_closures_and_names(spark):
     assert {(x["name"], x["canonical"]) for x in g.merge_names(pairs, weights).collect()} == {("a", "b"), ("b", "b"), ("c", "b")}
 
 
+def test_a_closure_has_no_limit_of_steps(spark):
+    chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = {(x["start"], x["node"]) for x in g.reachable(chain, spark.createDataFrame([(0,), (150,), (999,)], "node long")).collect()}
+    assert got == {(s, n) for s in (0, 150) for n in range(301)} | {(999, 999)}
+
+
 def test_cap_comes_before_the_hiding_of_copies(spark):
     rows = [(1, "d1", "x", 1), (1, "d1", "y", 2), (1, "d1", "z", 3), (1, "d2", "z", 4), (1, "d3", "x", 5)]
     df = spark.createDataFrame(rows, "question int, doc string, text string, rank int")
