@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +22,11 @@ _SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _STOPS = ".,;:!?)\"|*#$%"
 
 
+def plain(word: str) -> bool:
+    """Letters alone, also in the composed lower-case form that a tokenizer may read: there some letters become a letter and a mark."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class Encoder:
     """Ids of texts whose pieces, cut at spaces and line ends, can be encoded apart.
 
@@ -55,8 +61,8 @@ class Encoder:
         ids = np.array(self.t.encode(joined, add_special_tokens=False).ids, "<u4")
         at = np.flatnonzero(self.edge[ids])
         starts, ends = (at, [*at[1:], len(ids)]) if self.lead else ([0, *(at[:-1] + 1)], at + 1)
-        if len(at) != len(some):
-            raise ValueError("words and ids don't match")
+        if len(at) != len(some):  # letters that are none to the tokenizer
+            return map(self.one, some)
         return (ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True))
 
     def learn(self, pieces: set[str]) -> None:
@@ -64,14 +70,14 @@ class Encoder:
         if len(self.new) > CACHE_PIECES:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        k, plain, whole, marked = len(self.lead), [], set(), []
+        k, alone, whole, marked = len(self.lead), [], set(), []
         for p in pieces:
             if p in new:
                 continue
             if p in old:
                 new[p] = old[p]
-            elif p[k:].isalpha() and p.startswith(self.lead):
-                plain.append(p)
+            elif plain(p[k:]) and p.startswith(self.lead):
+                alone.append(p)
             else:
                 body = p.rstrip(_STOPS)  # a word and the marks after it are tokens of their own
                 if body != p and body[-1:].isascii() and body[-1:].isalnum():
@@ -79,10 +85,10 @@ class Encoder:
                     whole.update((body, p[len(body) :]))
                 else:
                     whole.add(p)
-        words = {p for p in whole if p not in new and p[k:].isalpha() and p.startswith(self.lead)}
-        plain = [*plain, *words.difference(plain)]
-        for at in range(0, len(plain), _TOGETHER):
-            some = plain[at : at + _TOGETHER]
+        words = {p for p in whole if p not in new and plain(p[k:]) and p.startswith(self.lead)}
+        alone = [*alone, *words.difference(alone)]
+        for at in range(0, len(alone), _TOGETHER):
+            some = alone[at : at + _TOGETHER]
             new.update(zip(some, self.words(some), strict=True))
         for p in whole:
             if p not in new:

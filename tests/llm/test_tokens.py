@@ -32,6 +32,13 @@ def test_cached_ids_are_those_of_the_whole_text(text):
     assert np.frombuffer(byte_ids(BYTE, [text])[0], "<u4").tolist() == PLAIN_BYTE(text)
 
 
+def test_letters_that_fall_apart_when_normalised():
+    letters = "\u0130\u0958\u095f\u09dc\u0a33\u0b5c\u0f43\ufb1d\ufb2a\u1e9e\u0391\u03a3"
+    texts = [f"one {c} two{c} {c}three É{c}. plain words {c}" for c in letters] + ["\u0130stanbul \u0958\u0924"]
+    for ids, path, plain in ((word_ids, WORD, PLAIN_WORD), (byte_ids, BYTE, PLAIN_BYTE)):
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids(path, texts)] == [plain(t) for t in texts]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
