@@ -78,11 +78,11 @@ def parts(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]
         at = min(end, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every word; words are runs of letters, digits and non-ASCII bytes, ASCII case folded."""
+def words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _FOLD) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every word; words are runs of letters, digits and non-ASCII bytes, ASCII case folded (or of what ``fold`` doesn't map to 0)."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    low = _FOLD[data]
+    low = fold[data]
     inside = low != 0
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
