@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import parts, shingles, texts_buffer, words
 
 GRAM = 3
+_BUCKETS = 512
+_HITS = 1 << 21
 
 
 def align(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +41,7 @@ def align(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Items:
-    """A block of benchmark items: word hashes, all their n-grams, and (after ``choose``) those that serve as seeds."""
+    """A block of benchmark items: word hashes, all their n-grams as seeds, and a table of the hash buckets of their words."""
 
     def __init__(self, ids: list, texts: list[str | None]):
         data, offsets = texts_buffer(pa.array(texts, pa.string()))
@@ -53,20 +55,13 @@ class Items:
                 g, at = shingles(w, np.zeros(len(w), np.int64), n)
                 gram.append(g), offset.append(at), item.append(np.full(len(g), i)), length.append(np.full(len(g), n))
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.gram, self.item, self.offset, self.length = join(gram, np.uint64), join(item, np.int64), join(offset, np.int64), join(length, np.int64)
-        self.lengths = np.unique(self.length).tolist()
-        self.known = np.unique(self.gram)
-
-    def choose(self, found: dict[int, int], stretch: int, rare: int) -> None:
-        """Keep as seeds all grams found in at most ``rare`` documents, and the rarest gram of each run of ``stretch`` grams of an item."""
-        count = np.array([found.get(int(g.view(np.int64)), 0) for g in self.known], np.int64)
-        rarity = count[np.searchsorted(self.known, self.gram)]
-        key = self.item * (1 << 32) + self.offset // stretch
-        order = np.lexsort((self.offset, rarity, key))
-        first = order[np.concatenate(([True], np.diff(key[order]) != 0))] if len(order) else order
-        first = np.union1d(first, np.flatnonzero(rarity <= rare))
-        first = first[np.argsort(self.gram[first], kind="stable")]
-        self.seed, self.seed_item, self.seed_offset = self.gram[first], self.item[first], self.offset[first]
+        seed, owner, place, length = join(gram, np.uint64), join(item, np.int64), join(offset, np.int64), join(length, np.int64)
+        self.lengths = np.unique(length).tolist()
+        order = np.argsort(seed, kind="stable")
+        self.seed, self.seed_item, self.seed_offset = seed[order], owner[order], place[order]
+        self.table = np.zeros((len(ids), _BUCKETS), bool)
+        for i, w in enumerate(self.words):
+            self.table[i, w % np.uint64(_BUCKETS)] = True
 
     def grams(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         got = [shingles(h, row, n) for n in self.lengths]
@@ -78,9 +73,36 @@ def _matches(x: Items, h: np.ndarray, row: np.ndarray, least: float) -> list[tup
     gram, pos = x.grams(h, row)
     low, high = np.searchsorted(x.seed, gram), np.searchsorted(x.seed, gram, "right")
     hit = np.flatnonzero(high > low)
-    times = (high - low)[hit]
-    seed = np.repeat(low[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    pos = np.repeat(pos[hit], times)
+    low, times, pos = low[hit], (high - low)[hit], pos[hit]
+    order = np.argsort(pos, kind="stable")
+    low, times, pos = low[order], times[order], pos[order]
+    part = np.cumsum(times) // _HITS  # rows are taken together while they have few hits
+    first = np.flatnonzero(np.concatenate(([True], np.diff(row[pos]) != 0))) if len(pos) else np.zeros(0, np.int64)
+    cut = [int(f) for k, f in enumerate(first) if k == 0 or part[f] != part[first[k - 1]]] + [len(pos)]
+    return [m for a, b in zip(cut, cut[1:], strict=False) for m in _aligned(x, h, row, low[a:b], times[a:b], pos[a:b], least)]
+
+
+def _worth(x: Items, h: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which cases (item against the words a to b) may reach ``least``: without as large a share of the item's words in common no alignment does.
+    Buckets can only count too many."""
+    ok, bucket = np.zeros(len(item), bool), (h % np.uint64(_BUCKETS)).astype(np.int64)
+    need = np.array([least * len(w) for w in x.words])
+    room = b - a
+    at = 0
+    while at < len(item):
+        end = at + max(1, int(np.searchsorted(np.cumsum(room[at : at + 100_000]), 4_000_000, "right")))
+        size = room[at:end]
+        start = np.cumsum(size) - size
+        word = np.repeat(a[at:end] - start, size) + np.arange(size.sum())
+        common = np.add.reduceat(x.table[np.repeat(item[at:end], size), bucket[word]].astype(np.int32), start)
+        ok[at:end] = common >= need[item[at:end]] - 1e-9
+        at = end
+    return ok
+
+
+def _aligned(x: Items, h: np.ndarray, row: np.ndarray, low: np.ndarray, times: np.ndarray, pos: np.ndarray, least: float) -> list[tuple[int, int, float, int, int]]:
+    seed = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    pos = np.repeat(pos, times)
     item, start = x.seed_item[seed], pos - x.seed_offset[seed]
     order = np.lexsort((start, item, row[pos]))
     item, start, doc = item[order], start[order], row[pos][order]
@@ -91,13 +113,17 @@ def _matches(x: Items, h: np.ndarray, row: np.ndarray, least: float) -> list[tup
     first = np.flatnonzero(new)
     last = np.concatenate((first[1:], [len(item)])) - 1 if len(first) else first
     edge = np.searchsorted(row, np.arange(int(row[-1]) + 2)) if len(row) else np.zeros(1, np.int64)
-    cases = []
-    for f, z in zip(first, last, strict=True):
-        i, d = item[f], doc[f]
-        a, b = max(edge[d], start[f] - slack[i]), min(edge[d + 1], start[z] + size[i] + slack[i])
-        step = 8 * size[i] + 64  # many starts in a row: pieces that overlap by more than an alignment can span
-        for at in range(a, max(a + 1, b - 2 * size[i] - 2 * slack[i]), step):
-            cases.append((int(i), int(d), at, int(min(b, at + step + 2 * size[i] + 2 * slack[i]))))
+    i, d = item[first], doc[first]
+    a = np.maximum(edge[d], start[first] - slack[i])
+    b = np.minimum(edge[d + 1], start[last] + size[i] + slack[i])
+    step, span = 8 * size[i] + 64, 2 * size[i] + 2 * slack[i]  # many starts in a row: pieces that overlap by more than an alignment can span
+    pieces = np.maximum(1, -(-(b - span - a) // step))
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    i, d, a, b, step, span = (np.repeat(v, pieces) for v in (i, d, a, b, step, span))
+    a = a + nth * step
+    b = np.minimum(b, a + step + span)
+    ok = _worth(x, h, i, a, b, least)
+    cases = list(zip(*(v[ok].tolist() for v in (i, d, a, b)), strict=True))
     cases.sort(key=lambda c: (c[3] - c[2], size[c[0]]))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for at in range(0, len(cases), 256):
@@ -116,51 +142,30 @@ def _matches(x: Items, h: np.ndarray, row: np.ndarray, least: float) -> list[tup
     return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
 
-def _blocks(docs: DataFrame, items: DataFrame, block_items: int, stretch: int) -> Iterator:
-    """Benchmark items in blocks of about ``block_items``, with their seeds chosen by counts over all documents."""
+def _blocks(docs: DataFrame, items: DataFrame, block_items: int) -> Iterator:
+    """Benchmark items in blocks of about ``block_items``."""
     sc = docs.sparkSession.sparkContext
     items = items.select("item_id", "text")
-    n, rare = items.count(), max(8, docs.count() // 1000)
-    blocks = -(-n // block_items)
+    blocks = -(-items.count() // block_items)
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         x = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-        if not len(x.known):
-            continue
-        held = sc.broadcast(x)  # bounded by block_items
-
-        def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            x = held.value
-            total = np.zeros(len(x.known), np.int64)
-            for batch in batches:
-                data, offsets = texts_buffer(batch.column(0))
-                for low, high in parts(offsets):
-                    h, row = words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                    gram, pos = x.grams(h, row)
-                    at = np.minimum(np.searchsorted(x.known, gram), len(x.known) - 1)
-                    own = x.known[at] == gram
-                    pairs = np.unique(row[pos[own]] * len(x.known) + at[own])
-                    total += np.bincount(pairs % len(x.known), minlength=len(x.known))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(x.known[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
-
-        counts = docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n"))
-        x.choose(dict(map(tuple, counts.collect())), stretch, rare)  # at most one number for each gram of the block
-        yield sc.broadcast(x)
+        if len(x.seed):
+            yield sc.broadcast(x)  # bounded by block_items
 
 
-def find_passages(docs: DataFrame, items: DataFrame, least: float = 0.5, stretch: int = 6, block_items: int = 20_000) -> DataFrame:
+def find_passages(docs: DataFrame, items: DataFrame, least: float = 0.5, block_items: int = 20_000) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word): the best passage of each document row and benchmark item whose alignment
     scores ``least`` or more of a full match; words count from 0.
 
-    Seeds are the 3-grams of an item that a thousandth of the documents or fewer hold, and of every ``stretch`` 3-grams the one that the
-    fewest hold, however many that are; any document with a seed is aligned around it.
+    Seeds are all 3-grams of an item, however many documents hold them; a document with a seed is aligned around it unless too few words
+    of the item stand there for the score. Only a passage without three words of its item in a row has no seed.
     Null or empty texts and items match nothing. Items that repeat and documents that repeat give rows of their own. Documents are read in
     place and never shuffled; items are taken in blocks of a bounded size.
     """
     out = None
     schema = "doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint"
-    for held in _blocks(docs, items, block_items, stretch):
+    for held in _blocks(docs, items, block_items):
 
         def each(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -178,10 +183,10 @@ def find_passages(docs: DataFrame, items: DataFrame, least: float = 0.5, stretch
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, stretch: int = 6, block_items: int = 20_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, block_items: int = 20_000) -> DataFrame:
     """The rows in which no passage is found; rows and columns are otherwise as they were."""
     at = docs.columns.index("text")
-    for held in _blocks(docs, items, block_items, stretch):
+    for held in _blocks(docs, items, block_items):
 
         def each(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -57,3 +57,20 @@ def test_stage_drops_only_documents_with_passages(spark):
     assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted([*(str(k) for k, _ in clean), "None", "200"])
     assert drop_contaminated(docs, spark.createDataFrame([], "item_id bigint, text string")).count() == len(texts)
     assert find_passages(docs.limit(0), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
+
+
+def test_copies_of_an_item_hide_no_edited_copy(spark):
+    rng = random.Random(11)
+    items = [(i, prose(rng, 30)) for i in range(4)]
+    texts = [(k, f"{prose(rng, 20)} {items[k % 4][1]} {prose(rng, 20)}") for k in range(120)]
+    for k in range(120):
+        w = items[k % 4][1].split()
+        for i in rng.sample(range(30), 6 + k % 3):
+            w[i] = f"new{i}"
+        texts.append((1000 + k, f"{prose(rng, 30)} {' '.join(w)} {prose(rng, 30)}"))
+    got = {(r["doc_id"], r["item_id"]) for r in find_passages(documents(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    for k, text in texts:
+        a, b = words(items[k % 4][1]), words(text)
+        grams = {tuple(b[i : i + 3]) for i in range(len(b))}
+        if smith_waterman(a, b) >= 0.5 and any(tuple(a[i : i + 3]) in grams for i in range(28)):
+            assert (k, k % 4) in got, k
