@@ -32,6 +32,34 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+_CC = {
+    "by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives",
+    "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+}
+for _code, _name in _CC.items():
+    for _version, _port in (("4.0", "International"), ("3.0", "Unported")):
+        if f"cc-{_code}-{_version}-line" not in TEMPLATES:
+            TEMPLATES[f"cc-{_code}-{_version}-line"] = f"This work is licensed under a Creative Commons {_name} {_version} {_port} License."
+        TEMPLATES[f"cc-{_code}-{_version}-short"] = f"Licensed under CC {_code.upper()} {_version}."
+        TEMPLATES[f"cc-{_code}-{_version}-spdx"] = f"SPDX-License-Identifier: CC-{_code.upper()}-{_version}"
+for _id in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later"):
+    TEMPLATES[f"{_id.lower()}-spdx"] = f"SPDX-License-Identifier: {_id}"
+for _key, _name in (("lgpl", "Lesser General"), ("agpl", "Affero General")):
+    for _version in ("2.1", "3") if _key == "lgpl" else ("3",):
+        TEMPLATES[f"{_key}-{_version}-line"] = f"This work is licensed under the GNU {_name} Public License, version {_version}."
+        _notice = TEMPLATES["gpl-3.0-or-later"].replace("GNU General Public License", f"GNU {_name} Public License")
+        TEMPLATES[f"{_key}-{_version}-or-later"] = _notice.replace("either version 3 of", f"either version {_version} of")
+TEMPLATES |= {
+    "bsd-3-clause-line": "Licensed under the BSD 3-Clause License.",
+    "bsd-2-clause-line": "Licensed under the BSD 2-Clause License.",
+    "cc0-1.0-short": "Licensed under CC0 1.0 Universal.",
+    "cc0-1.0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "mit-disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "bsd-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "isc-disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+}
+
 
 class Index:
     """Band keys of template stretches. A stretch is the largest power of two of shingles that the template has; document windows

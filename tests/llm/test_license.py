@@ -50,3 +50,17 @@ def test_changed_copies(spark):
     got = {r["doc_id"] for r in scan_licenses(documents(spark, texts)).collect() if r["license"] == "apache-2.0"}
     assert got == want and len(want) > 20
     assert scan_licenses(documents(spark, texts).limit(0)).count() == 0
+
+
+def test_license_sentences_of_the_documents_are_all_found(spark):
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    said = {r["doc_id"]: re.findall(r"(?:Licensed|Released|licensed) under (?:the |a )?[A-Z][^\n]{2,40}", r["text"] or "") for r in docs.collect()}
+    want = {k for k, v in said.items() if v}
+    got = {}
+    for r in scan_licenses(docs).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert want and not want - set(got), [said[k] for k in want - set(got)]
+    restrictive = {k for k, v in said.items() if any("CC BY-NC 4.0" in x for x in v)}
+    assert restrictive and all("cc-by-nc-4.0-short" in got[k] for k in restrictive)
