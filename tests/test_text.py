@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as x
+from loomwork.operators import excerpts as ex
 from loomwork.operators import lines as ln
 from loomwork.operators import names as nm
 from loomwork.sources import files
@@ -81,3 +82,48 @@ def test_encodings_in_turn(spark):
     rows = [("a", "é".encode()), ("b", "中文".encode("big5")), ("c", b"\xff\xff\xff")]
     got = {r["path"]: (r["encoding"], r["text"]) for r in files.decoded(spark.createDataFrame(rows, "path string, content binary"), ("utf-8-sig", "big5")).collect()}
     assert got == {"a": ("utf-8-sig", "é"), "b": ("big5", "中文"), "c": (None, None)}
+
+
+def test_headings_keep_one_blank_line_and_ids_of_han(spark):
+    text = "lead " * 30 + "\n\n\n\nnext " + "y" * 100 + "   \n## Two\n\n" + "z" * 120
+    assert ln.by_headings(text) == [("", ("lead " * 30).strip() + "\n\nnext " + "y" * 100), ("## Two", "z" * 120)]
+    assert ln.by_headings("#no heading " + "x" * 100) == [("", "#no heading " + "x" * 100)]
+    assert one(spark, x.query_terms(F.lit("請問知識專區的 PF1 規格"))) == ["的", "pf1", "規格"]
+    assert one(spark, x.stated_values(F.lit("at 320 MHz, v1.2 of AB12, 5 μs, 1.2.3 and 2048"))) == ["320 MHz", "v1.2", "AB12", "5 μs", "1.2.3", "2048"]
+
+
+def plain_excerpt(text, terms, limit):
+    import math
+    import re
+
+    if text is None or len(text) <= limit:
+        return text
+    parts = {i: s for i, s in enumerate(re.findall(ex.SENTENCE, text)) if s.strip()}
+    held = {i: set(re.findall("[a-z]+", s.lower())) & set(terms) for i, s in parts.items()}
+    weight = {i: sum(1 + math.log(len(parts) / sum(t in h for h in held.values())) for t in held[i]) for i in parts}
+    taken, used = set(), 0
+    for i in sorted((i for i in parts if weight[i]), key=lambda i: (-round(weight[i], 9), i)):
+        used += len(parts[i]) + 1
+        if used > limit:
+            break
+        taken.add(i)
+    room = limit - sum(len(parts[i]) + 1 for i in taken)
+    order = list(parts)
+    for k, i in enumerate(order):
+        if i not in taken and (order[max(k - 1, 0)] in taken or order[min(k + 1, len(order) - 1)] in taken):
+            room -= len(parts[i]) + 1
+            if room >= 0:
+                taken = taken | {("more", i)}
+    chosen = sorted(i[1] if isinstance(i, tuple) else i for i in taken)
+    if not chosen:
+        return text[: limit - 1] + "…"
+    return "".join(("" if not k else " " if i == chosen[k - 1] + 1 else " … ") + parts[i].strip() for k, i in enumerate(chosen))
+
+
+def test_excerpts_equal_plain_code(spark):
+    random.seed(4)
+    words = "alpha beta gamma delta eps zeta eta theta".split()
+    rows = [(k, "".join(" ".join(random.choices(words, k=random.randint(1, 9))) + random.choice([". ", "! ", "\n", "?\n"]) for _ in range(random.randint(0, 14))), random.sample(words, 2)) for k in range(80)]
+    rows += [(100, None, ["alpha"]), (101, "x" * 300, ["alpha"]), (102, "alpha " * 60, ["alpha"]), (103, "beta. " * 40, [])]
+    got = {r["k"]: r["excerpt"] for r in ex.excerpt(spark.createDataFrame(rows, "k int, body_ string, terms array<string>"), "k", "body_", "terms", 120).collect()}
+    assert got == {k: plain_excerpt(t, q, 120) for k, t, q in rows}
