@@ -7,6 +7,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ import pyarrow as pa
 from loomwork.llm.common import parts, texts_buffer
 
 #: Pieces of one generation of the cache; when it is full it becomes the old one, and pieces still in use move on.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 _TOGETHER = 500
 
 _ODD_SPACE = re.compile(r"[ \n]\s|\s[ \n]")
@@ -38,7 +39,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [x.content.lower() for x in self.t.get_added_tokens_decoder().values()]
+        self.mark = commonprefix(self.special)
         self.lead, self.new, self.old = lead, {}, {}
         edge = np.zeros(self.t.get_vocab_size() + 1, bool)
         for token, i in self.t.get_vocab().items():
@@ -52,6 +54,12 @@ class Encoder:
             return _SAFE_CUT.split(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
+    def odd(self, text: str) -> bool:
+        """Whether the string of an added token may stand in the text: the library reads that as the token, so such a text is encoded whole."""
+        if not self.special or self.mark not in (low := text.lower()):
+            return False
+        return any(x in low for x in self.special)
+
     def one(self, piece: str) -> bytes:
         return array("I", self.t.encode(piece, add_special_tokens=False).ids).tobytes()
 
@@ -97,13 +105,13 @@ class Encoder:
             new[p] = new[body] + new[marks]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
+        cut = [[] if self.odd(t) else self.cut(t) for t in texts]
         pieces: set[str] = set()
         for c in cut:
             pieces.update(c)
         self.learn(pieces)
         found = self.new.__getitem__
-        return [b"".join(map(found, c)) for c in cut]
+        return [b"".join(map(found, c)) if c else self.one(t) for t, c in zip(texts, cut, strict=True)]
 
 
 @lru_cache(maxsize=4)
@@ -112,7 +120,7 @@ def _encoder(path: str, lead: str) -> Encoder:
 
 
 def word_ids(path: str, texts: list[str]) -> list[bytes]:
-    """Little-endian 32-bit ids of texts by a tokenizer that drops white space and case and marks the ends of words."""
+    """Little-endian 32-bit ids of texts by a tokenizer that drops white space and case and marks the ends of words: those of the plain library call, in which the string of a special token is that token."""
     return _encoder(path, "").ids(texts)
 
 

@@ -18,7 +18,6 @@ def whole(path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -43,17 +42,34 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_cuts_are_reciprocals_of_the_capacity():
-    for n in range(1, 5000):
-        got = cuts(n, 2048)
-        assert sum(got) == n and all(2048 // (2048 // x) == x for x in got)
+def test_special_tokens_in_texts_are_read_as_the_library_reads_them():
+    assert np.frombuffer(word_ids(WORD, ["a <|endoftext|> b"])[0], "<u4").tolist() == PLAIN_WORD("a <|endoftext|> b") == [320, 49407, 321]
+    assert np.frombuffer(byte_ids(BYTE, ["a <|endoftext|> b"])[0], "<u4").tolist() == PLAIN_BYTE("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
+@pytest.mark.parametrize("ids, path, plain", [(word_ids, WORD, PLAIN_WORD), (byte_ids, BYTE, PLAIN_BYTE)])
+def test_every_letter_inside_words_and_long_texts(ids, path, plain):
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha() and not 0xD800 <= c < 0xE000 and not 0x20000 <= c and not 0xAC00 <= c < 0xD7A4 and not 0x4E00 <= c < 0xA000]
+    texts = [" ".join(f"a{c} {c}b x{c}y" for c in letters[k : k + 40]) for k in range(0, len(letters), 40)]
+    for text, got in zip(texts, ids(path, texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain(text), text
+    long = ["word İstanbul 12, " * 60_000, "x" * 1_000_000, "é" * 300_000]
+    for text, got in zip(long, ids(path, long), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain(text)
+
+
+def test_cuts_are_classes_of_the_capacity():
+    for slack in (0.0, 0.03, 0.2):
+        for n in range(1, 5000):
+            got = cuts(n, 2048, slack)
+            assert sum(got) == n and all(2048 // (2048 // x) - x <= slack * (2048 // (2048 // x)) for x in got)
 
 
 def test_packing_places_each_id_once(spark):
     texts = hard_texts() + [(100 + k, f"word{k} " * (k * 7 % 300)) for k in range(60)]
     docs = documents(spark, texts)
     got = pack(docs.where("doc_id is null or doc_id <> 2"), WORD, 256).collect()
-    by_doc, by_seq = {}, {}
+    by_doc, by_seq, short = {}, {}, {}
     for r in got:
         by_doc.setdefault(r["doc_id"], []).append(r)
         by_seq.setdefault(r["sequence_id"], []).append(r)
@@ -71,7 +87,10 @@ def test_packing_places_each_id_once(spark):
         for r in sorted(rows, key=lambda r: r["offset"]):
             assert r["offset"] == at
             at += r["length"]
-        assert at <= 256
+        k = 256 // rows[0]["length"]
+        assert at <= 256 and len(rows) <= k and all(256 // r["length"] == k for r in rows)
+        short[k] = short.get(k, 0) + (at < 0.92 * 256 - k)
+    assert max(short.values()) <= 1  # the last of each class
     assert sorted(by_seq) == list(range(len(by_seq)))
     assert pack(docs.limit(0), WORD).count() == 0
 
@@ -92,5 +111,33 @@ def test_orc_round_trip(spark, tmp_path):
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), crc(ids))
         at += len(ids)
     assert stored.where("doc_id = 9").count() == 1
+
+
+def test_orc_files_have_stripes_row_indexes_and_bloom_filters(spark, tmp_path):
+    docs = documents(spark, [(7 * k, f"text {k} " + "words and more words " * (k % 40)) for k in range(6000)])
+    out = str(tmp_path / "t")
+    write_tokens(docs.coalesce(1), BYTE, out, stripe_bytes=65536, index_rows=1000)
+    jvm = spark.sparkContext._jvm
+    conf = jvm.org.apache.hadoop.conf.Configuration()
+    orc = jvm.org.apache.orc
+    stripes = streams = rows = 0
+    for f in sorted((tmp_path / "t").glob("*.orc")):
+        reader = orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        own = reader.rows()
+        for stripe in reader.getStripes():
+            kinds = [str(s.getKind()) for s in own.readStripeFooter(stripe).getStreamsList()]
+            assert "ROW_INDEX" in kinds and "BLOOM_FILTER_UTF8" in kinds
+            stripes, rows = stripes + 1, rows + stripe.getNumberOfRows()
+    assert rows == 6000 and stripes > 1
+    some = read_tokens(spark, out).where("doc_id = 7 * 3000").select("doc_id")
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,21000)]" in some._jdf.queryExecution().explainString(jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert some.collect()
+    scan = some._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() <= 2000  # of 6,000: stripes and row groups without the id are not read
+
+
+def test_orc_digest_of_no_rows(spark, tmp_path):
+    docs = documents(spark, hard_texts())
     write_tokens(docs.limit(0), BYTE, str(tmp_path / "none"))
     assert token_digest(spark, str(tmp_path / "none")).count() == 0
