@@ -18,14 +18,15 @@ def numbered(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
     Rows are range-partitioned and sorted, and fixed in shared storage; only the row counts of partitions are summed, so
     no task sees more than one partition. Rows equal in all of ``order`` take their numbers in any order.
     """
-    sorted_ = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
+    keys = [*(F.col(c).asc_nulls_first() for c in order), F.col("_tie").asc()]  # many rows that are equal spread over partitions too
+    sorted_ = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
     fixed = pinned(sorted_.withColumn("_m", F.monotonically_increasing_id()))
     part, local = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     counts = fixed.groupBy(part.alias("_p")).count()
     before = F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
     starts = pinned(counts.select("_p", F.coalesce(before, F.lit(0)).alias("_before"), "count"))
     total = starts.agg(F.sum("count")).first()[0] or 0
-    rows = fixed.withColumn("_p", part).join(starts.select("_p", "_before"), "_p")
+    rows = fixed.withColumn("_p", part).join(F.broadcast(starts.select("_p", "_before")), "_p")  # one short row a partition
     return rows.withColumn("row", F.col("_before") + local).drop("_p", "_m", "_before"), total
 
 

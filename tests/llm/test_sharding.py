@@ -35,3 +35,40 @@ def test_permutation_is_a_bijection(spark):
         got = [r[0] for r in spark.range(n).select(permuted(F.col("id"), n, 3)).collect()]
         assert sorted(got) == list(range(n))
     assert got != list(range(n))
+
+
+def plain_place(row, n, seed, hashed):
+    """The place of a row by the same rule in plain Python; hashed(seed, round, value) is XXH64 of the three numbers."""
+    import math
+
+    a = math.isqrt(max(n - 1, 0)) + 1
+    b = max(1, -(-n // a))
+    while True:
+        left, right = divmod(row, b)
+        for i in range(6):
+            m = a if i % 2 == 0 else b
+            left, right = right, (left + hashed(seed, i, right) % m) % m
+        row = left * b + right
+        if row < n:
+            return row
+
+
+def test_shards_and_slots_equal_plain_code(spark):
+    import numpy as np
+    import xxhash
+
+    def hashed(seed, i, value):  # Spark hashes an int as 4 bytes, a bigint as 8, each with the hash before as seed
+        h = 42
+        for x, size in ((seed, 4), (i, 4), (value, 8)):
+            h = xxhash.xxh64_intdigest(int(x).to_bytes(size, "little", signed=True), h)
+        return int(np.uint64(h).astype(np.int64))
+
+    for n in (1, 2, 37, 500):
+        docs = documents(spark, [(3 * k, f"text {k}") for k in range(n)])
+        want = {(3 * k, (p := plain_place(k, n, 20, hashed)) % 16, p // 16) for k in range(n)}
+        assert {(r["doc_id"], r["shard"], r["slot"]) for r in shard_rows(docs, 16, 20).collect()} == want
+
+
+def test_rows_equal_in_all_columns(spark):
+    got = shard_rows(documents(spark, [(1, "same")] * 300).repartition(5), 16).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == sorted((k % 16, k // 16) for k in range(300))
