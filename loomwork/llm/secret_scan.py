@@ -18,13 +18,16 @@ from loomwork.llm.common import parts, texts_buffer
 
 @dataclass(frozen=True)
 class Rule:
-    """A regex over bytes (literals, classes, groups, |, ?, *, +, {n,}); a match that isn't wholly a ``keep`` is dropped, no retries."""
+    """A regex over bytes (literals, classes, groups, |, ?, *, +, {n,}); a match that isn't wholly a ``keep`` is dropped, no retries.
+
+    Fields: name of the kind, pattern, ``keep``, whether it is a base kind, whether letters match in either case, ``tail``."""
 
     kind: str
     pattern: str
     keep: str = ""
     base: bool = False
     fold: bool = False
+    tail: str = ""  # what belongs to a match and may hold any byte: tried where a match ends
 
 
 # Patterns and order of the three base kinds, then token formats published by their issuers.
@@ -33,10 +36,24 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", r".{20,}", True),
     Rule("hex", r"[0-9a-f]{24,}", "", True),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", r".{40,}"),
+    Rule("github_pat", r"github_pat_[A-Za-z0-9_]+", r".{50,}"),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]+", r".{26,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", r".{15,}"),
+    Rule("slack_hook", r"hooks\.slack\.com/services/[A-Za-z0-9/]+", r".{60,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]+", r".{39}"),
+    Rule("google_oauth", r"ya29\.[0-9A-Za-z_-]+", r".{30,}"),
+    Rule("stripe", r"[sr]k_(live|test)_[0-9A-Za-z]+", r".{24,}"),
+    Rule("npm", r"npm_[A-Za-z0-9]+", r".{40}"),
+    Rule("pypi", r"pypi-[A-Za-z0-9_-]+", r".{60,}"),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r".{60,}"),
+    Rule("twilio", r"(AC|SK)[0-9a-f]+", r".{34}"),
+    Rule("digitalocean", r"do[opr]_v1_[0-9a-f]+", r".{71}"),
+    Rule("huggingface", r"hf_[A-Za-z]+", r".{37}"),
+    Rule("shopify", r"shp(at|ca|pa|ss)_[0-9a-f]+", r".{38}"),
+    Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/=-]+", r".{27,}", False, True),
+    Rule("url_password", r"://[A-Za-z0-9._-]+:[A-Za-z0-9._~!*+=-]+@", r".{8,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r".{40,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ""),
+    Rule("private_key", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----", "", tail=r"(?:-?[^-])*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=\s]*"),
 )
 
 
@@ -329,13 +346,24 @@ def _spans(sc: Scanner, piece: bytes, rules: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _extended(sc: Scanner, text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans with their rules' tails; a match inside the tail of another of its rule is part of it."""
+    out, done = [], {}
+    for s, r, e in sorted(spans):
+        if s >= done.get(r, 0):
+            if sc.rules[r].tail:
+                e = done[r] = re.compile(sc.rules[r].tail.encode()).match(text, e).end()
+            out.append((s, r, e))
+    return out
+
+
 def find_secrets(text: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
     """(start, rule, end) in bytes, by start and rule, of one text."""
     data, found = np.frombuffer(text, np.uint8), []
     sc = scanner(rules)
     for a, b, hit in zip(*_hits(data, np.array([0, len(data)]), sc.seek), strict=True):
         found += [(a + s, r, a + e) for s, r, e in _spans(sc, text[a:b], int(hit))]
-    return sorted(found)
+    return _extended(sc, text, found)
 
 
 def _batch_spans(column: pa.Array, sc: Scanner) -> Iterator[tuple[int, np.ndarray, np.ndarray, dict]]:
@@ -350,6 +378,10 @@ def _batch_spans(column: pa.Array, sc: Scanner) -> Iterator[tuple[int, np.ndarra
             got = _spans(sc, d[a:b].tobytes(), int(hit))
             if got:
                 by_row.setdefault(int(row), []).extend((int(a - o[row]) + s, r, int(a - o[row]) + e) for s, r, e in got)
+        tails = {r for r, x in enumerate(sc.rules) if x.tail}
+        for row, got in by_row.items():
+            if any(x[1] in tails for x in got):
+                by_row[row] = _extended(sc, d[o[row] : o[row + 1]].tobytes(), got)
         yield low, d, o, by_row
 
 
@@ -362,7 +394,8 @@ def _characters(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[in
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, n_<base kind>..., base_sha256, spans) for each row of documents.
 
-    Spans are kind:start:end in code points, by start and then rule order. A null or empty text has none (its base_sha256 is
+    Spans are kind:start:end in code points, by start and then rule order. That of a private key goes to its END line, or, without one,
+    over the letters of its body. A null or empty text has none (its base_sha256 is
     that of an empty string). Rows come out one for one, also repeated rows and rows with a null doc_id; other columns are ignored.
     """
     base = [r for r, x in enumerate(rules) if x.base]

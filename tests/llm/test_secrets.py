@@ -47,3 +47,31 @@ def test_redaction(spark):
     assert redact_secrets(docs).schema == docs.schema
     assert got[20]["text"] == "é [SECRET] and deadbeef" and got[20]["n_chars"] == len(got[20]["text"])
     assert all(got[k]["text"] == t for k, t in hard_texts())
+
+
+def test_private_keys_with_their_bodies(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA" + chr(97 + k % 26) * 40 for k in range(30))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    cut = f"-----BEGIN PRIVATE KEY-----\n{body}"
+    texts = [(1, f"before {key} after"), (2, f"é {key}{key}."), (3, cut + " -- and more"), (4, "-----BEGIN CERTIFICATE-----")]
+    got = {r["doc_id"]: r["text"] for r in redact_secrets(documents(spark, texts)).collect()}
+    assert got[1] == "before [SECRET] after" and got[2] == "é [SECRET][SECRET]." and got[4] == texts[3][1]
+    assert got[3].startswith("[SECRET]") and got[3].endswith("-- and more") and "MIIE" not in got[3]
+    told = {r["doc_id"]: r["spans"] for r in scan_secrets(documents(spark, texts)).collect()}
+    assert told[1].split(",")[0] == f"private_key:7:{7 + len(key)}"
+
+
+def test_formats_of_issuers():
+    from loomwork.llm.secret_scan import RULES
+
+    made = {
+        "github": "ghp_" + "a1B2" * 9, "github_pat": "github_pat_" + "a1B2_" * 10, "gitlab": "glpat-" + "x1Y-" * 5, "slack": "xoxb-123456-abcdefg",
+        "slack_hook": "https://hooks.slack.com/services/T00000000/B00000000/" + "X" * 24, "google": "AIza" + "Ab1-_" * 7, "google_oauth": "ya29." + "a" * 30,
+        "stripe": "sk_live_" + "a1B2" * 6, "npm": "npm_" + "aB1c" * 9, "pypi": "pypi-" + "AgEI" * 20, "sendgrid": "SG." + "a" * 22 + "." + "b" * 43,
+        "twilio": "AC" + "0f" * 16, "digitalocean": "dop_v1_" + "0a" * 32, "huggingface": "hf_" + "aB" * 17, "shopify": "shpat_" + "0a" * 16,
+        "bearer": "Authorization: Bearer " + "aB1." * 8, "url_password": "postgres://user:pa55!word@host/db", "jwt": "eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJSMeKKF2QT4fwpMeJf36POk6y",
+    }
+    for kind, text in made.items():
+        found = [(RULES[r].kind, s, e) for s, r, e in find_secrets(f"see {text} here".encode())]
+        assert any(k == kind for k, _, _ in found), kind
+        assert not any(RULES[r].kind == kind for _, r, _ in find_secrets(f"see {text[: len(text) // 2]} here".encode())) or kind in ("slack", "url_password"), kind
