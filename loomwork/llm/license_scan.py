@@ -62,8 +62,8 @@ TEMPLATES |= {
 
 
 class Index:
-    """Band keys of template stretches. A stretch is the largest power of two of shingles that the template has; document windows
-    have the same sizes, so a copy meets its template at a Jaccard index of 7/9 or more, and one with a fifth of its
+    """Band keys of template stretches. A stretch is the largest power of two in four fifths of the template's shingles, so that a text which is only
+    a shortened notice has one too; document windows have the same sizes, so a copy meets its template at a Jaccard index of 7/9 or more, and one with a fifth of its
     shingles changed at about 0.54: with 24 bands of 2 the chances of a common band are 1 - 4e-10 and 0.9997."""
 
     def __init__(self, templates: dict[str, str], bands: int = 24, rows: int = 2, seed: int = 17):
@@ -76,7 +76,7 @@ class Index:
             s = shingles(*words(data, offsets), SHINGLE)[0]
             if not len(s):
                 raise ValueError(f"template {name} has fewer than {SHINGLE} words")
-            size = 1 << (len(s).bit_length() - 1)
+            size = 1 << (max(1, -(-4 * len(s) // 5)).bit_length() - 1)
             self.sizes.add(size)
             for at in sorted({*range(0, len(s) - size + 1, max(1, size // 2)), len(s) - size}):
                 keys.append(self.keys(self.minima(s[at : at + size], size)[:1], size)[0])
@@ -90,6 +90,10 @@ class Index:
         self.known = np.unique(np.concatenate(self.sets))
         self.sizes = sorted(self.sizes)
 
+    def reach(self, t: int) -> int:
+        """Shingles of a text in which a copy of template t stands: a quarter more than its own, eight at least."""
+        return len(self.sets[t]) + max(8, len(self.sets[t]) // 4)
+
     def minima(self, s: np.ndarray, size: int) -> np.ndarray:
         """MinHash values (window, hash) of every window of ``size`` shingles, by doubling."""
         m = mix(s[:, None] * self.mult[None, :])
@@ -106,6 +110,28 @@ class Index:
         return mix(k + (np.arange(self.bands, dtype=np.uint64) * np.uint64(1000) + np.uint64(size))[None, :])
 
 
+def _densest(s: np.ndarray, a: int, b: int, want: np.ndarray, width: int, least: float) -> tuple[float, int, int] | None:
+    """(containment, first, last) of the first stretch of ``width`` shingles within a..b that holds most of the distinct shingles of ``want``."""
+    names = np.unique(want)
+    which = np.minimum(np.searchsorted(names, s[a:b]), len(names) - 1)
+    at = np.flatnonzero(names[which] == s[a:b])
+    if len(at) < least * len(names) - 1e-9:
+        return None
+    which = which[at]
+    order = np.argsort(which, kind="stable")
+    before = np.full(len(at), -1)  # the hit before of the same shingle
+    same = which[order][1:] == which[order][:-1]
+    before[order[1:][same]] = order[:-1][same]
+    end = np.searchsorted(at, at + width)
+    top = (0, 0)
+    for i in range(len(at)):  # hits in the stretch from hit i, each shingle once
+        if end[i] - i > top[0]:
+            n = int((before[i : end[i]] < i).sum())
+            top = (n, i) if n > top[0] else top
+    n, i = top
+    return None if n < least * len(names) - 1e-9 else (n / len(names), a + int(at[i]), a + int(at[end[i] - 1]))
+
+
 def _scan(x: Index, s: np.ndarray, pos: np.ndarray, row: np.ndarray, least: float) -> list[tuple[int, int, float, int, int]]:
     """(row, template, containment, first word, last word) of the best place of each template in each row."""
     at = np.minimum(np.searchsorted(x.known, s), len(x.known) - 1)
@@ -135,14 +161,11 @@ def _scan(x: Index, s: np.ndarray, pos: np.ndarray, row: np.ndarray, least: floa
                     for t, offset in x.owner[lo[w, c] : hi[w, c]].tolist():
                         tried.add((t, p + int(w) * stride - offset))
         for t, begin in sorted(tried):
-            want = x.sets[t]
-            slack = max(2, len(want) // 4)
-            a2, b2 = max(low, begin - slack), min(high, begin + len(want) + slack)
-            inside = np.flatnonzero(np.isin(s[a2:b2], want))
-            share = len(np.unique(s[a2:b2][inside])) / len(np.unique(want))
-            if share >= least:
-                first = int(pos[low])
-                got = (share, int(pos[a2 + inside[0]]) - first, int(pos[a2 + inside[-1]]) - first + SHINGLE - 1)
+            width = x.reach(t)
+            got = _densest(s, max(low, begin - width), min(high, begin + 2 * width), x.sets[t], width, least)
+            if got:
+                share, first, last = got
+                got = (share, int(pos[first]) - int(pos[low]), int(pos[last]) - int(pos[low]) + SHINGLE - 1)
                 if (d, t) not in best or (got[0], -got[1]) > (best[d, t][0], -best[d, t][1]):
                     best[d, t] = got
     found = [(d, t, *v) for (d, t), v in sorted(best.items())]
@@ -154,7 +177,7 @@ def _scan(x: Index, s: np.ndarray, pos: np.ndarray, row: np.ndarray, least: floa
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """(doc_id, license, containment, first_word, last_word): for each document row and template, the best place where ``least`` or
+    """(doc_id, license, containment, first_word, last_word): for each document row and template, the first stretch of ``Index.reach`` shingles with most of the template's, where ``least`` or
     more of the template's distinct five-word shingles stand together, unless a template with a higher containment and as many shingles in common overlaps it (another version of a license); words count from 0, case and punctuation are ignored.
 
     Null, empty and shorter texts match nothing; repeated rows give rows of their own; other columns are ignored. Templates
