@@ -14,6 +14,7 @@ from loomwork.llm.common import parts, shingles, texts_buffer, words
 GRAM = 3
 _BUCKETS = 512
 _HITS = 1 << 21
+_CELLS = 1 << 20
 
 
 def align(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +101,15 @@ def _worth(x: Items, h: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarr
     return ok
 
 
+def _together(cases: list[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Cases, sorted by the width of their passage, in batches whose tables have at most _CELLS cells a word; a wider case is alone."""
+    at = 0
+    for end in range(1, len(cases) + 1):
+        if end == len(cases) or (end + 1 - at) * (cases[end][3] - cases[end][2]) > _CELLS or end - at == 1024:
+            yield cases[at:end]
+            at = end
+
+
 def _aligned(x: Items, h: np.ndarray, row: np.ndarray, low: np.ndarray, times: np.ndarray, pos: np.ndarray, least: float) -> list[tuple[int, int, float, int, int]]:
     seed = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     pos = np.repeat(pos, times)
@@ -126,8 +136,7 @@ def _aligned(x: Items, h: np.ndarray, row: np.ndarray, low: np.ndarray, times: n
     cases = list(zip(*(v[ok].tolist() for v in (i, d, a, b)), strict=True))
     cases.sort(key=lambda c: (c[3] - c[2], size[c[0]]))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for at in range(0, len(cases), 256):
-        some = cases[at : at + 256]
+    for some in _together(cases):
         n, width = max(size[c[0]] for c in some), max(c[3] - c[2] for c in some)
         a, b = np.zeros((len(some), n), np.uint64), np.ones((len(some), width), np.uint64)
         for k, (i, _, p, q) in enumerate(some):

@@ -41,8 +41,9 @@ def test_scores_equal_a_plain_alignment(spark):
             exact = smith_waterman(words(item), words(text))
             if (k, i) in got:
                 assert abs(got[k, i] - exact) < 1e-9
-            elif exact >= 0.75:  # a share that high always leaves a seed
-                raise AssertionError((k, i, exact))
+            elif exact >= 0.5:  # only a passage without three words of the item in a row has no seed
+                a, b = words(item), words(text)
+                assert not {tuple(a[j : j + 3]) for j in range(len(a) - 2)} & {tuple(b[j : j + 3]) for j in range(len(b) - 2)}, (k, i, exact)
     assert all((k, k % 12) in got for k in range(36))
 
 
@@ -74,3 +75,14 @@ def test_copies_of_an_item_hide_no_edited_copy(spark):
         grams = {tuple(b[i : i + 3]) for i in range(len(b))}
         if smith_waterman(a, b) >= 0.5 and any(tuple(a[i : i + 3]) in grams for i in range(28)):
             assert (k, k % 4) in got, k
+
+
+def test_a_long_item_is_aligned_in_bounded_tables(spark):
+    rng = random.Random(3)
+    long = prose(rng, 3000)
+    w = long.split()
+    for i in rng.sample(range(3000), 500):
+        w[i] = "new"
+    texts = [(k, f"{prose(rng, 50)} {' '.join(w)}") for k in range(3)] + [(9, prose(rng, 100))]
+    got = {r["doc_id"]: r["score"] for r in find_passages(documents(spark, texts), spark.createDataFrame([(1, long), (2, prose(rng, 20))], "item_id bigint, text string")).collect()}
+    assert set(got) == {0, 1, 2} and all(0.6 < s < 0.9 for s in got.values())
