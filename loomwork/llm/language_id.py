@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import parts, texts_buffer
@@ -17,7 +17,6 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 DIMS = 6
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class ByteCnn:
@@ -102,15 +101,43 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(inside, data[np.minimum(at, max(len(data) - 1, 0))], 0), row, length / WINDOW
 
 
-def train(docs: DataFrame, rows_per_language: int = 600, windows_per_row: int = 6) -> ByteCnn | None:
-    """Fit on at most ``rows_per_language`` documents of each language, chosen by the hash of their text, and at most
-    ``windows_per_row`` windows of each, spread over the whole text; None without labelled text."""
-    label = docs.where("lang is not null and text is not null and length(text) > 0")
+def noise(x: np.ndarray, seed: int = 13) -> np.ndarray:
+    """Windows in no language, made of the windows x: their bytes in random order, or random printable characters."""
+    rng = np.random.default_rng(seed)
+    out = rng.permuted(x, axis=1)
+    some = rng.random(len(x)) < 0.5
+    out[some] = rng.integers(33, 127, (some.sum(), x.shape[1]))
+    out[rng.random(len(x)) < 0.3, 40:] = 0
+    return out
+
+
+def sample(docs: DataFrame, rows_per_language: int, windows_per_row: int) -> pa.Table:
+    """(lang, h, cut): windows of about ``rows_per_language`` different texts of each language, at most so many, spread over the whole text.
+
+    A text is in the sample where its hash is low enough for the number of different texts of its language, so copies count
+    once and no task sees a language as a whole; of what comes to the driver, a few more than asked for, the lowest hashes stay.
+    """
+    label = docs.where("lang is not null and text is not null and length(text) > 0").select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = label.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    chance = F.pmod("h", F.lit(1_000_003)) < F.lit(1_000_003 * 1.25 * rows_per_language) / F.col("n")
     places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(windows_per_row - 1)), lambda i: F.floor(i * F.length("text") / windows_per_row)))
     cut = F.transform(places, lambda p: F.substring(F.col("text"), (p + 1).cast("int"), F.lit(WINDOW)))
-    order = Window.partitionBy("lang").orderBy("h", "cut")
-    sample = label.select("lang", F.xxhash64("text").alias("h"), cut.alias("cut")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language)
-    got = sample.select("lang", "h", F.explode("cut").alias("cut")).orderBy("lang", "h", "cut").toArrow()
+    some = label.join(F.broadcast(counts), "lang").where(chance)  # one row a language
+    got = some.groupBy("lang", "h").agg(F.min(cut).alias("cut")).orderBy("lang", F.pmod("h", F.lit(1_000_003)), "h").toArrow()
+    if not got.num_rows:
+        return got
+    names = np.array(got["lang"].to_pylist(), object)
+    start = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+    nth = np.arange(len(names)) - np.repeat(start, np.diff(np.concatenate((start, [len(names)]))))
+    got = got.filter(pa.array(nth < rows_per_language))
+    cuts = got["cut"].combine_chunks()
+    row = np.repeat(np.arange(len(cuts)), cuts.value_lengths().to_numpy())
+    return pa.table({"lang": got["lang"].take(pa.array(row)), "cut": cuts.flatten()})
+
+
+def train(docs: DataFrame, rows_per_language: int = 600, windows_per_row: int = 6, reject: bool = False) -> ByteCnn | None:
+    """Fit on the windows of ``sample``; None without labelled text. With ``reject``, windows of ``noise`` are a class UNKNOWN."""
+    got = sample(docs, rows_per_language, windows_per_row)
     if not got.num_rows:
         return None
     names = got["lang"].to_pylist()
@@ -121,10 +148,14 @@ def train(docs: DataFrame, rows_per_language: int = 600, windows_per_row: int =
         raw = np.frombuffer(text.encode()[:WINDOW], np.uint8)
         x[i, : len(raw)] = raw
     y = np.array([number[n] for n in names])
-    net = ByteCnn(classes)
+    net = ByteCnn([*classes, UNKNOWN] if reject else classes)
     short = x.copy()  # short texts occur too: the same windows, cut at a tenth to a half
     short[np.arange(WINDOW) >= np.random.default_rng(9).integers(WINDOW // 10, WINDOW // 2, len(x))[:, None]] = 0
-    net.fit(np.concatenate((x, short)), np.concatenate((y, y)))
+    x, y = np.concatenate((x, short)), np.concatenate((y, y))
+    if reject:
+        none = noise(x[:: max(1, len(classes) // 2)])
+        x, y = np.concatenate((x, none)), np.concatenate((y, np.full(len(none), len(classes))))
+    net.fit(x, y, epochs=max(4, 20_000 // len(x)))  # a few hundred steps at least
     return net
 
 
@@ -140,7 +171,7 @@ def _predict(net: ByteCnn | None, column: pa.Array) -> tuple[list[str], np.ndarr
                 np.add.at(total, low + row, net.probabilities(x) * share[:, None])
     total /= np.maximum(total.sum(1, keepdims=True), 1e-9)
     best = total.argmax(1)
-    known = [bool(net) and t is not None and _LETTER.search(t) is not None for t in texts]
+    known = [bool(net) and t is not None and any(map(str.isalpha, t)) for t in texts]
     return [net.classes[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, total.max(1), 0.0)
 
 
@@ -168,13 +199,20 @@ def identify(docs: DataFrame, rows_per_language: int = 600) -> DataFrame:
     return rows.mapInArrow(each, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows whose language is identified with a score of ``least`` or more; columns stay as they are."""
-    net, at = train(docs.where(~held_out())), docs.columns.index("text")
+def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """The rows whose text is in one of the languages of ``lang``, by a net that also knows windows in none: UNKNOWN must not be the likeliest,
+    and the language has a probability of ``least`` or more over the whole text. A null lang becomes the language found; other columns stay as they are.
+
+    Null texts, texts without a letter and, where no row has a lang, all rows go.
+    """
+    net, at, named = train(docs.where(~held_out()), reject=True), docs.columns.index("text"), docs.columns.index("lang")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, score = _predict(net, batch.column(at))
-            yield batch.filter(pa.array((np.array(names, object) != UNKNOWN) & (score >= least)))
+            columns = list(batch.columns)
+            columns[named] = pc.coalesce(columns[named], pa.array(names, columns[named].type))
+            out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield out.filter(pa.array((np.array(names, object) != UNKNOWN) & (score >= least)))
 
     return docs.mapInArrow(each, docs.schema)

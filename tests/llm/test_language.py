@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomwork.llm.language_id import ByteCnn, identify, keep_identified, windows
+from loomwork.llm.language_id import ByteCnn, identify, keep_identified, sample, windows
 from tests.llm.fixtures import SCHEMA, documents, hard_texts
 
 SYLLABLES = {"en": ["the", "th", "ing", "and", "er", "ou", "sh"], "fr": ["é", "eau", "oi", "que", "la", "ç", "ai"], "de": ["sch", "ü", "ung", "der", "ich", "ß", "ei"]}
@@ -70,3 +70,34 @@ def test_gradients_lower_the_loss():
     net = ByteCnn(["a", "b"])
     net.fit(x, y, epochs=8)
     assert (net.probabilities(x).argmax(1) == y).mean() > 0.97
+
+
+def test_copies_of_one_text_do_not_fill_the_sample(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"text {i} " + "".join(map(chr, rng.integers(97, 123, 40))), "en") for i in range(900)]
+    docs = spark.createDataFrame(rows + [rows[k] for k in range(5) for _ in range(800)] + [("nur eins", "de")] * 7 + [(None, "en"), ("", "de"), ("x", None)], "text string, lang string").repartition(8)
+    got = sample(docs, 300, 1)
+    names, cuts = got["lang"].to_pylist(), got["cut"].to_pylist()
+    assert names.count("en") == 300 == len({c for c, n in zip(cuts, names, strict=True) if n == "en"}) and names.count("de") == 1
+
+
+def test_held_out_accuracy_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in identify(docs).collect()}
+    lang = {r["doc_id"]: r["lang"] for r in docs.where("lang is not null and length(text) > 20").select("doc_id", "lang").collect()}
+    held = [k for k in lang if got[k]["held_out"]]
+    assert len(held) > 100 and np.mean([got[k]["lang_pred"] == lang[k] for k in held]) >= 0.97
+
+
+def test_stage_rejects_noise_and_fills_null_lang(spark):
+    rng = np.random.default_rng(2)
+    junk = [(700 + k, "".join(map(chr, rng.integers(33, 127, 400))), None, "s", 0, "x", 0) for k in range(30)]
+    rows = [(i, t, None if i % 10 == 3 else lang, *more) for i, t, lang, *more in corpus(150)]
+    got = {r["doc_id"]: r["lang"] for r in keep_identified(spark.createDataFrame(rows + junk, SCHEMA)).collect()}
+    assert set(got) == set(range(150)) and all(got[i] == lang for i, _, lang, *_ in corpus(150))
+
+
+def test_numbers_that_are_no_letters_are_und(spark):
+    rows = corpus(60) + [(900 + k, t, None, None, None, "x", 0) for k, t in enumerate("² ½ ① Ⅷ 123 _ ª".split())]
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[900 + k] == "und" for k in range(7)] == [not any(map(str.isalpha, t)) for t in "² ½ ① Ⅷ 123 _ ª".split()]
