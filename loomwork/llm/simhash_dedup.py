@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import connected_components, deal, local_roots, parts, pinned, texts_buffer
@@ -60,6 +60,16 @@ def pivots(count: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def index_pivots(seed: int = 8) -> np.ndarray:
+    """A random reference fingerprint, and 32 more that differ from it in two bits each, no bit twice.
+
+    The distance to one of the 32 less that to the first is -2, 0 or 2. A bit in which two fingerprints differ changes it for one
+    reference alone, so fingerprints within d bits agree in all but d of these 32 coordinates.
+    """
+    first = pivots(1, seed)
+    return np.concatenate((first, first ^ (np.uint64(3) << np.arange(0, BITS, 2, dtype=np.uint64))))
+
+
 def pivot_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
     """Hamming distance of each fingerprint to each reference fingerprint, one row per reference."""
     return np.stack([np.bitwise_count(fps ^ r) for r in refs]).astype(np.int8)
@@ -74,64 +84,78 @@ def near(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, most:
     return live[np.bitwise_count(fps[i[live]] ^ fps[j[live]]) <= most]
 
 
-def block_plan(rows: int, most: int) -> list[tuple[int, ...]]:
-    """Bit positions that a pair has to share in at least one block choice.
+def index_plan(rows: int, most: int) -> tuple[list[range], list[tuple[int, ...]]]:
+    """(groups of coordinates, choices of groups): fingerprints within ``most`` bits agree in all coordinates of some choice.
 
-    With most + c blocks, any pair within ``most`` bits agrees on c whole blocks. c rises with the number of
-    fingerprints so that an evenly filled bucket stays small; every choice is complete.
+    With most + c groups, coordinates differ in at most ``most`` of them, so some c agree. c rises with the number of fingerprints
+    so that an evenly filled bucket stays small (a coordinate holds 1.5 bits); every choice is complete.
     """
-    c = next((c for c in range(1, 4) if 2 ** (BITS * c // (most + c)) >= rows), 4)
-    edges = np.linspace(0, BITS, most + c + 1).astype(int)
-    blocks = [range(edges[k], edges[k + 1]) for k in range(most + c)]
-    return [tuple(b for k in pick for b in blocks[k]) for pick in combinations(range(most + c), c)]
+    coordinates = BITS // 2
+    c = next((c for c in range(1, 4) if 2 ** (1.5 * coordinates * c / (most + c)) >= rows), 4)
+    edges = np.linspace(0, coordinates, most + c + 1).astype(int)
+    return [range(edges[k], edges[k + 1]) for k in range(most + c)], list(combinations(range(most + c), c))
 
 
-def _mask(bits: tuple[int, ...]) -> int:
-    m = sum(1 << b for b in bits)
-    return m - (1 << 64) if m >= 1 << 63 else m
+def index_keys(fp: str, rows: int, most: int) -> Column:
+    """array<bigint>: the buckets of a fingerprint, one for each choice of coordinate groups."""
+    refs = [int(r) for r in index_pivots().view(np.int64)]
+    distance = lambda r: F.bit_count(F.col(fp).bitwiseXOR(F.lit(r)))
+    groups, choices = index_plan(rows, most)
+    own = [F.xxhash64(*[distance(refs[j + 1]) - distance(refs[0]) for j in g]) for g in groups]
+    return F.transform(F.array(F.array(*own)), lambda h: F.array(*[F.xxhash64(F.lit(k), *[F.get(h, F.lit(g)) for g in pick]) for k, pick in enumerate(choices)]))[0]
 
 
-def _links(ids: np.ndarray, fps: np.ndarray, group: np.ndarray, side: np.ndarray, refs: np.ndarray, most: int):
-    """A spanning set of links inside runs of equal ``group``. side 0: within the run; 1 and 2: only 1 against 2."""
+def _links(ids: np.ndarray, fps: np.ndarray, group: np.ndarray, side: np.ndarray, refs: np.ndarray, most: int, direct: bool):
+    """A spanning set of links inside runs of equal ``group``. side 0: within the run; 1 and 2: only 1 against 2. ``direct``: pairs that lie near themselves."""
     n = len(ids)
-    table, root = pivot_table(fps, refs), np.arange(n)
+    table = pivot_table(fps, refs)
+    order = np.lexsort((table[0], group))  # by the first coordinate: what follows farther on differs more in it
+    ids, fps, group, side, table, root = ids[order], fps[order], group[order], side[order], table[:, order], np.arange(n)
     start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     size = np.diff(np.concatenate((start, [n])))
     end = np.repeat(start + size, size)
+    first, kept = table[0], []
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal root
+        some = (root[i] != root[j]) & ((side[i] == 0) | (side[i] != side[j]))
+        i, j = i[some], j[some]
+        ok = near(fps, table, i, j, most)
+        if len(ok):
+            i, j = i[ok], j[ok]
+            kept.append((i, j))
+            root = local_roots(n, i, j, root)
+
     at, shift = np.arange(n), 1
     while True:  # all pairs of short runs, by distance within the run
         at = at[at + shift < end[at]]
+        at = at[first[at + shift] - first[at] <= most]
         if not len(at):
             break
         if len(at) < 4096 and (end[at] - at).max() > shift + 64:
             break
-        other = at + shift
-        i, j = (at, other) if not side.any() else (at[m := (side[at] != side[other]) | (side[at] == 0)], other[m])
-        ok = near(fps, table, i, j, most)
-        root = local_roots(n, i[ok], j[ok], root)
+        take(at, at + shift)
         shift += 1
     for i in at:  # the rest of long runs: one row against all that follow it
-        j = np.arange(i + shift, end[i])
-        j = j[root[j] != root[i]]
-        if side[i]:
-            j = j[side[j] != side[i]]
-        ok = near(fps, table, np.full(len(j), i), j, most)
-        if len(ok):
-            root = local_roots(n, np.full(len(ok), i), j[ok], root)
+        last = i + shift + int(np.searchsorted(first[i + shift : end[i]], first[i] + most, "right"))
+        take(np.full(last - i - shift, i), np.arange(i + shift, last))
+    if direct:
+        i, j = (np.concatenate([p[k] for p in kept]) if kept else np.zeros(0, np.int64) for k in (0, 1))
+        return ids[i], ids[j]
     moved = np.flatnonzero(root != np.arange(n))
     return ids[moved], ids[root[moved]]
 
 
-def links(reps: DataFrame, most: int = 4, n_pivots: int = 12, tile: int = 8192) -> DataFrame:
+def links(reps: DataFrame, most: int = 4, n_pivots: int = 12, tile: int = 8192, direct: bool = False) -> DataFrame:
     """Links (a, b) between rows of reps(id, fp), enough to connect all that lie within ``most`` bits.
 
-    Buckets of equal block bits hold every such pair. A bucket over ``tile`` rows is dealt as pairs of chunks, each a
-    group of its own, so no task holds a large bucket; within a group only a spanning set of links leaves the task.
+    Distances to the index pivots make the buckets, which hold every such pair. A bucket over ``tile`` rows is dealt as pairs of chunks, each a
+    group of its own, so no task holds a large bucket. Within a group rows are sorted by their distance to the first of ``n_pivots`` random
+    references and met only while that differs by ``most``; pairs whose other distances differ by more are discarded, the rest compared bit by bit.
+    Only a spanning set of links leaves the task: with ``direct``, of pairs that lie near themselves.
     """
-    plan = block_plan(reps.count(), most)
     refs = pivots(n_pivots)
-    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(bits))) for bits in plan])
-    placed = reps.select("id", "fp", F.posexplode(keys).alias("k", "v")).withColumn("b", F.xxhash64("k", "v"))
+    placed = reps.select("id", "fp", F.explode(index_keys("fp", reps.count(), most)).alias("b"))
     dealt = deal(placed, "b", "id", tile)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +166,7 @@ def links(reps: DataFrame, most: int = 4, n_pivots: int = 12, tile: int = 8192)
             ids, fps = t["id"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
             group, side = t["g"].to_numpy(), t["side"].to_numpy()
             cut = len(ids) if last else int(np.searchsorted(group, group[-1]))  # the last group may go on
-            a, b = _links(ids[:cut], fps[:cut], group[:cut], side[:cut], refs, most)
+            a, b = _links(ids[:cut], fps[:cut], group[:cut], side[:cut], refs, most, direct)
             held[:] = [] if last else t.slice(cut).to_batches()
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -181,8 +205,9 @@ def drop_near_duplicates(docs: DataFrame, most: int = 4) -> DataFrame:
     named = docs.join(kept, "doc_id", "left_semi")
     repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     if not repeated.isEmpty():
+        n = "_" * (1 + max(map(len, docs.columns)))  # no column has that name
         order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-        one = named.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+        one = named.join(repeated, "doc_id", "left_semi").withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(n)
         named = named.join(repeated, "doc_id", "left_anti").unionByName(one.select(docs.columns))
     if alone.isEmpty():
         return named.select(docs.columns)

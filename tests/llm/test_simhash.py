@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import connected_components
-from loomwork.llm.simhash_dedup import block_plan, drop_near_duplicates, links, simhash_groups
+from loomwork.llm.simhash_dedup import drop_near_duplicates, index_keys, index_pivots, index_plan, links, pivot_table, simhash_groups
 from tests.llm.fixtures import documents, hard_texts
 
 
@@ -67,17 +67,38 @@ def test_tiles_and_long_runs_lose_no_link(spark):
         assert {i: got.get(i, i) for i in range(len(fps))} == want
 
 
-def test_blocks_are_complete():
+def test_index_is_complete_and_comes_from_pivot_distances(spark):
+    rng = np.random.default_rng(1)
+    refs = index_pivots()
     for rows in (10, 10_000, 10**7, 10**10):
-        plan = block_plan(rows, 4)
-        rng = np.random.default_rng(1)
-        for _ in range(200):
-            off = set(rng.choice(64, 4, replace=False).tolist())
-            assert any(not off & set(bits) for bits in plan)
+        groups, choices = index_plan(rows, 4)
+        pairs = []
+        for _ in range(150):
+            x = int(rng.integers(0, 1 << 63, dtype=np.uint64)) * 2
+            y = x
+            for b in rng.choice(64, rng.integers(0, 5), replace=False):
+                y ^= 1 << int(b)
+            d = pivot_table(np.array([x, y], np.uint64), refs).astype(int)
+            off = set(np.flatnonzero((d[1:, 0] - d[0, 0]) != (d[1:, 1] - d[0, 1])).tolist())
+            assert len(off) <= 4 and any(not off & {j for g in pick for j in groups[g]} for pick in choices)
+            pairs.append(tuple(v - (1 << 64) if v >= 1 << 63 else v for v in (x, y)))
+        df = spark.createDataFrame(pairs, "x bigint, y bigint")
+        assert df.where(F.arrays_overlap(index_keys("x", rows, 4), index_keys("y", rows, 4))).count() == 150
+    far = spark.range(2000).select(F.xxhash64("id").alias("x"), F.xxhash64("id", F.lit(1)).alias("y"))
+    assert far.where(F.arrays_overlap(index_keys("x", 10**7, 4), index_keys("y", 10**7, 4))).count() < 20
+
+
+def test_direct_links_lie_near(spark):
+    rng = np.random.default_rng(4)
+    core = int(rng.integers(0, 1 << 62))
+    fps = sorted({core ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (400, 2))})
+    rows = [(i, f - (1 << 64) if f >= 1 << 63 else f) for i, f in enumerate(fps)]
+    got = links(spark.createDataFrame(rows, "id bigint, fp bigint"), direct=True).collect()
+    assert all((fps[r["a"]] ^ fps[r["b"]]).bit_count() <= 4 for r in got) and len(got) < 40 * len(fps)
 
 
 def test_one_of_each_group_stays(spark):
-    docs = documents(spark, hard_texts() + [(None, "no id here"), (None, "no id here")])
+    docs = documents(spark, hard_texts() + [(None, "no id here"), (None, "no id here")]).withColumn("_n", F.lit(3))
     got = drop_near_duplicates(docs)
     assert got.columns == docs.columns
     named = [(k, plain_fingerprint(t)) for k, t in hard_texts() if k is not None]
