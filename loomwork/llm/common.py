@@ -37,6 +37,12 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is read no more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 # --- words of many texts at once -----------------------------------------------------------
 
 _FOLD = np.zeros(256, np.uint8)

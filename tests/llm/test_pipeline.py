@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 
 from loomwork.llm.queries import queries
+from tests.llm.fixtures import documents
+from tests.llm.test_near_copies import shingles
 from tests.llm.test_secrets import plain as plain_secrets
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import plain_components
 from tests.llm.test_tokens import PLAIN_WORD
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -36,10 +38,10 @@ def test_stages_against_plain_code(spark):
         if name == "language_id":
             assert all(any(c.isalpha() for c in kept[k]["text"] or "") for k in kept)
         if name == "simhash_dedup":
-            fps = {k: plain_fingerprint(r["text"]) for k, r in rows.items()}
-            near = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4]
-            comp = plain_components(list(fps), near)
-            assert set(kept) == {k for k in fps if comp[k] == k}
+            sets = {k: shingles(r["text"]) for k, r in rows.items()}  # five words, 0.8 or more, as stages on word shingles take
+            near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+            comp = plain_components(list(sets), near)
+            assert set(kept) == {k for k in sets if comp[k] == k}
         if name == "decontamination":
             items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             assert not any(i in r["text"] for r in kept.values() for i in items)
@@ -60,3 +62,16 @@ def test_every_query_gives_a_row_for_each_document(spark):
     assert found["op4_embedding_near_dedup"](spark, SF).count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert found["op7_harmonic_packing"](spark, SF).select("doc_id").distinct().count() == n
     assert found["op1_license_scan"](spark, SF).count() > 0 and found["op5_decontamination"](spark, SF).count() > 0
+
+
+def test_no_rows_nulls_and_very_long_texts_pass_all_stages(spark):
+    long = "lead one two three " * 60_000
+    for texts in ([], [(None, None)] * 3 + [(1, None), (2, ""), (3, " ")], [(k, f"{long} {k}") for k in range(2)] + [(7, "x" * 500_000), (8, "The text of a document stands here and ends.")] * 2):
+        docs = documents(spark, texts)
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, docs, SF).collect()
+            if name != "packing":
+                assert stage(spark, docs, SF).columns == docs.columns
+                docs = spark.createDataFrame([tuple(r) for r in rows], docs.schema)
+        assert (not texts and not rows) or {r["doc_id"] for r in rows} <= {k for k, _ in texts}
+    assert len(rows) and docs.where("doc_id = 8").count() == 1
