@@ -41,3 +41,31 @@ def test_empty_and_unnamed(spark):
     assert near_vectors(spark.createDataFrame([], schema)).count() == 0
     got = near_vectors(spark.createDataFrame([(None, [1.0, 0.0], 1, 7), (5, [1.0, 0.0], 1, 7), (5, [1.0, 0.0], 1, 7)], schema)).collect()
     assert sorted(str(r["vec_id"]) for r in got) == ["5", "5", "None"] and all(r["n_links"] == 2 and r["component_id"] == 5 for r in got)
+
+
+def test_classes_without_ids_join_and_doubles_stay_doubles(spark):
+    rng = np.random.default_rng(6)
+    a = rng.standard_normal(16)
+    b = np.cos(0.4) * a / np.linalg.norm(a)
+    side = rng.standard_normal(16)
+    side -= (side @ a) * a / (a @ a)
+    mid, far = b + np.sin(0.4) * side / np.linalg.norm(side), np.cos(0.8) * a / np.linalg.norm(a) + np.sin(0.8) * side / np.linalg.norm(side)
+    rows = [(7, a.tolist()), (None, (mid * 1e200).tolist()), (3, (far * 1e-200).tolist()), (9, side.tolist()), (None, (-side).tolist()), (None, (-side * 3).tolist())]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == sorted([(7, 1, 3), (None, 2, 3), (3, 1, 3), (9, 0, 9), (None, 1, None), (None, 1, None)], key=str)
+
+
+def test_recall_at_defaults_over_many_leaves(spark):
+    """50,000 planted vectors: more leaves than one, a sample that is a part of them, leaves that are split again."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((5000, 64))
+    rows = np.repeat(centres, 10, axis=0) + rng.standard_normal((50_000, 64)) * np.repeat(rng.uniform(0.05, 0.5, 5000), 10)[:, None]
+    unit = rows.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = np.concatenate([(unit[i : i + 2000] @ unit.T >= 0.9).sum(1) - 1 for i in range(0, 50_000, 2000)])
+    import pyarrow as pa
+
+    table = pa.table({"vec_id": np.arange(50_000), "embedding": pa.ListArray.from_arrays(np.arange(0, 50_001 * 64, 64, dtype=np.int32), rows.astype(np.float32).ravel())})
+    got = near_vectors(spark.createDataFrame(table).repartition(8)).toPandas().set_index("vec_id").loc[np.arange(50_000)]["n_links"].to_numpy()
+    assert (got <= want).all() and got.sum() >= 0.9 * want.sum(), got.sum() / want.sum()
+    print("recall", got.sum() / want.sum())
