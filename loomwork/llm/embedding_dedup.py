@@ -148,7 +148,7 @@ def _split(placed: DataFrame, vectors: DataFrame, dims: int, kind: type, cosine:
         rows = rows.join(vectors, "id").select("id", "leaf", "c", "vec")
         stay = placed.join(trees.select("leaf"), "leaf", "left_anti")
         done = pinned(stay if done is None else done.unionAll(stay))
-        placed = pinned(rows.groupBy("leaf", "c").cogroup(cut.select("leaf", "c", "tree").groupBy("leaf", "c")).applyInArrow(place, "id bigint, leaf bigint"))
+        placed = pinned(rows.groupBy("leaf", "c").cogroup(cut.select(F.col("leaf").alias("_leaf"), F.col("c").alias("_c"), "tree").groupBy("_leaf", "_c")).applyInArrow(place, "id bigint, leaf bigint"))
 
 
 def near_vectors(

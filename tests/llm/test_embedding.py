@@ -36,6 +36,14 @@ def test_many_leaves_and_tiles_keep_the_links(spark):
     assert found / all_ >= 0.98
 
 
+def test_large_leaves_are_split_again(spark):
+    rows = made(3, centres=100, each=12, dims=48)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    want = brute(rows)
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(df, leaf=64, sample_rows=300, fit_rows=200).collect()}
+    assert all(got[i] <= want[i][0] for i in want) and sum(got.values()) >= 0.97 * sum(w[0] for w in want.values())
+
+
 def test_empty_and_unnamed(spark):
     schema = "vec_id bigint, embedding array<float>, label int, id bigint"
     assert near_vectors(spark.createDataFrame([], schema)).count() == 0
