@@ -88,10 +88,10 @@ def index_plan(rows: int, most: int) -> tuple[list[range], list[tuple[int, ...]]
     """(groups of coordinates, choices of groups): fingerprints within ``most`` bits agree in all coordinates of some choice.
 
     With most + c groups, coordinates differ in at most ``most`` of them, so some c agree. c rises with the number of fingerprints
-    so that an evenly filled bucket stays small (a coordinate holds 1.5 bits); every choice is complete.
+    so that an evenly filled bucket holds 16 or fewer (a coordinate holds 1.5 bits); every choice is complete.
     """
     coordinates = BITS // 2
-    c = next((c for c in range(1, 4) if 2 ** (1.5 * coordinates * c / (most + c)) >= rows), 4)
+    c = next((c for c in range(1, 4) if 16 * 2 ** (1.5 * coordinates * c / (most + c)) >= rows), 4)
     edges = np.linspace(0, coordinates, most + c + 1).astype(int)
     return [range(edges[k], edges[k + 1]) for k in range(most + c)], list(combinations(range(most + c), c))
 
