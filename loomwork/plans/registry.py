@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.plans.views import Tables, with_views
 
-_MODULES = ("numeric", "ranking", "text", "rollups", "graphs", "ledgers", "packages", "streams")
+_MODULES = ("numeric", "ranking", "text", "rollups", "graphs", "ledgers", "packages", "reports", "streams")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 

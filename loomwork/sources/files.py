@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import islice
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,3 +110,44 @@ def wide_to_long(cells: DataFrame, sheet: str = "sheet") -> DataFrame:
     heads = cells.where("row = 0 and col > 0").select(sheet, "col", F.col("value").alias("heading"))
     body = cells.where("row > 0 and col > 0").join(labels, [sheet, "row"]).join(heads, [sheet, "col"])
     return body.select(sheet, "row", "label", "heading", F.expr("try_cast(value as double)").alias("value")).where("value is not null")
+
+
+def workbook_cells(files: DataFrame, most_bytes: int = 20 << 20, most_cells: int = 200_000) -> DataFrame:
+    """(path, sheet, row, col, value) of the cells of workbooks(path, content), as spark.read.format("binaryFile") gives them; rows and columns count from 0.
+
+    Sheets are zipped XML. A file that is larger than ``most_bytes``, packed or unpacked, has over ``most_cells`` cells or can't be read gives one row with a null sheet and
+    the reason as value, so one bad file ends no job and no task holds more than a file of that size.
+    """
+
+    def cells(content: bytes):
+        spaces = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            if sum(x.file_size for x in z.infolist()) > most_bytes:
+                raise ValueError("too large")
+            tree = lambda name: ElementTree.fromstring(z.read(name))
+            shared = ["".join(t.text or "" for t in x.iter(f"{{{spaces['m']}}}t")) for x in tree("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in z.namelist() else []
+            names = [x.get("name") for x in tree("xl/workbook.xml").iterfind(".//m:sheet", spaces)]
+            for k, name in enumerate(names, 1):
+                for c in tree(f"xl/worksheets/sheet{k}.xml").iterfind(".//m:c", spaces):
+                    letters, number = re.fullmatch("([A-Z]+)([0-9]+)", c.get("r")).groups()
+                    col = reduce(lambda n, x: 26 * n + ord(x) - 64, letters, 0) - 1
+                    value = "".join(t.text or "" for t in c.iter(f"{{{spaces['m']}}}t")) if c.get("t") == "inlineStr" else c.findtext("m:v", None, spaces)
+                    if value is not None:
+                        yield name, int(number) - 1, col, shared[int(value)] if c.get("t") == "s" else value
+
+    def each(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    if len(content) > most_bytes:
+                        raise ValueError("too large")
+                    found = list(islice(cells(content), most_cells + 1))
+                    if len(found) > most_cells:
+                        raise ValueError("too many cells")
+                except (ValueError, KeyError, IndexError, AttributeError, TypeError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                    found = [(None, None, None, str(e) or type(e).__name__)]
+                yield pd.DataFrame([(path, *x) for x in found], columns=["path", "sheet", "row", "col", "value"]).astype({"row": "Int64", "col": "Int64"})
+
+    return files.select("path", "content").mapInPandas(each, "path string, sheet string, row bigint, col bigint, value string")
