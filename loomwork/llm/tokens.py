@@ -56,7 +56,7 @@ class Encoder:
 
     def odd(self, text: str) -> bool:
         """Whether the string of an added token may stand in the text: the library reads that as the token, so such a text is encoded whole."""
-        if not self.special or self.mark not in (low := text.lower()):
+        if not self.special or self.mark[:1] not in text or self.mark not in (low := text.lower()):
             return False
         return any(x in low for x in self.special)
 
