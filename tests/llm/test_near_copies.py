@@ -1,6 +1,8 @@
 import random
 
-from loomwork.llm.near_copies import drop_near_copies, near_copy_groups
+import numpy as np
+
+from loomwork.llm.near_copies import drop_near_copies, near_copy_groups, set_sketches
 from loomwork.llm.simhash_dedup import drop_near_duplicates
 from tests.llm.fixtures import documents, hard_texts
 from tests.llm.test_simhash import plain_components
@@ -22,6 +24,21 @@ def edited(rng):
     return texts + [(300 + k, " ".join(f"own{k}x{i}" for i in range(30))) for k in range(20)] + [(None, "never seen before"), (None, "never seen before")]
 
 
+def test_sketches_never_differ_in_more_than_the_sets():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, size)) for size in (0, 1, 1, 5, 40, 44, 300, 2500) for _ in range(4)]
+    sets += [np.unique(np.concatenate((x[3:], pool[:2]))) for x in sets if len(x) > 30]
+    sets = [np.unique(np.where(rng.random(len(x)) < 0.3, x | np.uint64(1 << 63), x)) for x in sets]  # the mark of common shingles doesn't matter
+    got = set_sketches(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))))
+    plain = [{int(v) % (1 << 63) for v in x} for x in sets]
+    for i, x in enumerate(plain):
+        for j, y in enumerate(plain):
+            assert np.bitwise_count(got[i] ^ got[j]).sum() <= len(x ^ y)
+    assert not got[0].any() and got[4].any()
+    assert set_sketches(np.zeros(0, np.uint64), np.zeros(1, np.int64)).shape[0] == 0
+
+
 def test_groups_equal_all_pairs(spark):
     texts = hard_texts() + edited(random.Random(4))
     sets = [shingles(t) for _, t in texts]
