@@ -46,10 +46,10 @@ def similar_names(names: DataFrame, ratio: float) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the letters in matching blocks over the letters of both."""
+    """Twice the letters in matching blocks over the letters of both; null where a name is null."""
     from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def concept_pairs(names: DataFrame, ratio: float, most: int = 6) -> DataFrame:
