@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from loomwork.llm import near_copies
 from loomwork.llm.near_copies import drop_near_copies, near_copy_groups, set_sketches
 from loomwork.llm.simhash_dedup import drop_near_duplicates
 from tests.llm.fixtures import documents, hard_texts
@@ -60,6 +61,13 @@ def test_groups_equal_all_pairs(spark):
     assert drop_near_copies(docs.limit(0)).count() == 0
 
 
+def test_rows_over_the_broadcast_bound_are_joined_alike(spark, monkeypatch):
+    docs = documents(spark, edited(random.Random(5)))
+    few = sorted(str(r["doc_id"]) for r in drop_near_copies(docs).collect())
+    monkeypatch.setattr(near_copies, "BROADCAST_ROWS", 0)
+    assert sorted(str(r["doc_id"]) for r in drop_near_copies(docs).collect()) == few
+
+
 def test_stage_drops_edited_copies(spark):
     import corpus_pipeline
 
