@@ -75,9 +75,29 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op11_group_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.alignment import align
+
+    return align(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.mixing import mix_digest
+
+    return mix_digest(read(spark, sf_dir, "documents"), shards=16)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.ranked_search import search
+
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_pii_spans, op3_language_id, op4_embedding_near_dedup, op5_decontamination, op6_feistel_sharding, op7_harmonic_packing, op8_simhash_dedup, op9_orc_tokens, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii_spans, op3_language_id, op4_embedding_near_dedup, op5_decontamination, op6_feistel_sharding, op7_harmonic_packing, op8_simhash_dedup, op9_orc_tokens, op10_secret_scan, op11_group_alignment, op12_source_mix, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from loomwork.llm.ranked_search import SEARCH_SQL
+
+    return {"op13_ranked_search": SEARCH_SQL}
