@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import parts, pinned, texts_buffer, words
+from loomwork.llm.common import parts, pinned, shared_dir, texts_buffer, words
 
 #: Bits of the filter of items' terms that tasks hold (4 MB, whatever the number of terms); a word that passes by chance finds no item later.
 FILTER_BITS = 1 << 25
 _PART = 2 << 20
+#: Entries (item, term) of a block of items (24 MB).
+BLOCK_TERMS = 1_000_000
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -68,34 +72,105 @@ def term_vectors(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return pinned(found.withColumn("row", F.monotonically_increasing_id()))
 
 
-def _scored(pairs: DataFrame, items: DataFrame, vectors: DataFrame) -> DataFrame:
-    """pairs (item_id, row) with the exact score: an item's terms meet the row's vector in one place."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t, w, own, tf = (batch.column(k) for k in (4, 5, 6, 7))
-            row = lambda x: np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy()))
-            flat = lambda x: x.flatten().to_numpy()
-            # One sorted list of all rows' terms, told apart by where each row begins.
-            begin = own.offsets.to_numpy().astype(np.int64) - own.offsets[0].as_py()
-            mine, at = flat(own), row(t)
-            lo, hi = begin[at], begin[at + 1]
-            key, stop = flat(t), hi
-            while (open_ := lo < hi).any():
-                mid = (lo + hi) // 2
-                less = open_ & (mine[np.minimum(mid, len(mine) - 1)] < key)
-                lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-            hit = np.flatnonzero(lo < stop)
-            hit = hit[mine[lo[hit]] == key[hit]]
-            c, m = flat(tf)[lo[hit]].astype(np.int64), batch.column(3).to_numpy()[at[hit]]
-            got = flat(w)[hit] * ((1_000_000_000 * c) // (1000 * c + 8 * m))
-            score = np.zeros(len(t), np.int64)
-            np.add.at(score, at[hit], got)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(score)], ["item_id", "row", "doc_id", "score"])
-
-    kind = items.schema["item_id"].dataType.simpleString()
-    full = pairs.join(items.select("item_id", "item_term", "item_w"), "item_id").join(vectors.select("row", "doc_id", "m", "terms", "counts"), "row")
-    return full.select("item_id", "row", "doc_id", "m", "item_term", "item_w", "terms", "counts").mapInArrow(each, f"item_id {kind}, row bigint, doc_id bigint, score bigint")
+class ItemBlock:
+    """Terms of some items, as tasks hold them: at most about BLOCK_TERMS (item, term) entries."""
+
+    def __init__(self, entries: pa.Table):
+        self.ids = entries["item_id"].combine_chunks().dictionary_encode()
+        item, self.ids = self.ids.indices.to_numpy().astype(np.int64), self.ids.dictionary
+        term, w = entries["term"].to_numpy(), entries["w"].to_numpy()
+        order = np.lexsort((term, item))
+        self.begin = np.searchsorted(item[order], np.arange(len(self.ids) + 1))
+        self.vocabulary, at = np.unique(term, return_inverse=True)
+        self.own = at[order]  # terms of each item, by their number
+        self.weight = np.zeros(len(self.vocabulary), np.int64)
+        self.weight[at] = w
+        self.need, self.bound = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), np.int64)
+        if "need" in entries.column_names:
+            self.need[item], self.bound[item] = entries["need"].to_numpy(), entries["bound"].to_numpy()
+            keep = np.flatnonzero(entries["essential"].to_numpy(zero_copy_only=False))
+            keep = keep[np.argsort(at[keep], kind="stable")]
+            self.items = item[keep]  # items in which each term is essential
+            self.first = np.searchsorted(at[keep], np.arange(len(self.vocabulary) + 1))
+
+    def postings(self, terms: pa.ListArray, counts: pa.ListArray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, number of the term, part of the impact) of the rows' terms that the items hold, in order of row and term."""
+        row = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))
+        t, tf = terms.flatten().to_numpy(), counts.flatten().to_numpy().astype(np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, t), max(0, len(self.vocabulary) - 1))
+        hit = np.flatnonzero(self.vocabulary[at] == t) if len(self.vocabulary) else np.zeros(0, np.int64)
+        row, tf = row[hit], tf[hit]
+        return row, at[hit], (1_000_000_000 * tf) // (1000 * tf + 8 * m[row])
+
+    def scores(self, posts: tuple[np.ndarray, np.ndarray, np.ndarray], row: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Exact score of each pair (row, item)."""
+        of, term, part = posts
+        key, size = of * len(self.vocabulary) + term, np.diff(self.begin)[item]
+        pair = np.repeat(np.arange(len(row)), size)
+        want = self.own[np.repeat(self.begin[item], size) + np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)]
+        at = np.searchsorted(key, wanted := row[pair] * len(self.vocabulary) + want)
+        hit = np.flatnonzero(at < len(key))
+        hit = hit[key[at[hit]] == wanted[hit]]
+        out = np.zeros(len(row), np.int64)
+        np.add.at(out, pair[hit], self.weight[want[hit]] * part[at[hit]])
+        return out
+
+    def candidates(self, posts: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (row, item) whose essential terms, with all that left-out terms could add, reach the item's bound."""
+        row, term, part = posts
+        size = np.diff(self.first)[term]
+        done, ends = 0, np.searchsorted(row, np.arange(rows + 1))
+        total = np.concatenate(([0], np.cumsum(size)))
+        while done < rows:  # rows whose postings meet about ``at_once`` entries
+            end = max(done + 1, int(np.searchsorted(total[ends], total[ends[done]] + at_once, "right")) - 1)
+            some = slice(ends[done], ends[end])
+            n = size[some]
+            item = self.items[np.repeat(self.first[term[some]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            pair, at = np.unique(np.repeat(row[some], n) * len(self.ids) + item, return_inverse=True)
+            reached = np.bincount(at, np.repeat(self.weight[term[some]] * part[some], n).astype(np.float64), len(pair))  # whole numbers below 2^53
+            r, i = np.divmod(pair, max(1, len(self.ids)))
+            ok = reached >= self.need[i]
+            yield r[ok], i[ok]
+            done = end
+
+
+def _in_blocks(entries: DataFrame, vectors: DataFrame, each, columns: list[str], seeds: DataFrame | None = None) -> DataFrame:
+    """(item_id, row, doc_id, score) of ``each(ItemBlock, batch)`` over the rows of vectors, block by block of items; a block is one job."""
+    spark = vectors.sparkSession
+    out = f"{shared_dir(spark)}/ranked-{uuid4().hex}"
+    kind = entries.schema["item_id"].dataType.simpleString()
+    blocks = max(1, -(-entries.count() // BLOCK_TERMS))
+    for k in range(blocks):
+        mine = lambda x, k=k: x.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        held = spark.sparkContext.broadcast(ItemBlock(mine(entries).select(*columns).toArrow()))
+        rows = vectors.select("row", "doc_id", "m", "terms", "counts")
+        if seeds is not None:
+            rows = mine(seeds).groupBy("row").agg(F.collect_list("item_id").alias("item_ids")).join(rows, "row").select("row", "doc_id", "m", "terms", "counts", "item_ids")
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            block = held.value
+            for batch in batches:
+                posts = block.postings(batch.column(3), batch.column(4), batch.column(2).to_numpy())
+                for row, item, score in each(block, posts, batch):
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([block.ids.take(pa.array(item)), batch.column(0).take(at), batch.column(1).take(at), pa.array(score)], ["item_id", "row", "doc_id", "score"])
+
+        rows.mapInArrow(run, f"item_id {kind}, row bigint, doc_id bigint, score bigint").write.mode("append").parquet(out)
+    return spark.read.schema(f"item_id {kind}, row bigint, doc_id bigint, score bigint").parquet(out)
+
+
+def _of_seeds(block: ItemBlock, posts, batch: pa.RecordBatch):
+    asked = batch.column(5)
+    row = np.repeat(np.arange(len(asked)), np.diff(asked.offsets.to_numpy()))
+    item = pa.compute.index_in(asked.flatten(), block.ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    yield row, item, block.scores(posts, row, item)
+
+
+def _of_candidates(block: ItemBlock, posts, batch: pa.RecordBatch):
+    for row, item in block.candidates(posts, batch.num_rows):
+        score = block.scores(posts, row, item)
+        ok = score >= block.bound[item]
+        yield row[ok], item[ok], score[ok]
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10, stored: int = 32) -> DataFrame:
@@ -106,10 +181,10 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, stored: int = 32) ->
 
     1. Rows keep the terms that a filter of fixed size lets through. 2. The ``stored`` largest impacts of each term are stored with their rows; the kth of them is a lower bound of the
     kth score of every item with that term, and the exact scores of an item's stored rows raise it. 3. An item's terms are ordered by largest impact; those whose impacts from there on sum to less than
-    the bound can't make a row enter the list by themselves and are left out of the join. 4. Postings of the other terms join the items; pairs of which the sum, with all that
-    left-out terms could add, reaches the bound are scored exactly. So no cap is set and no row lost.
+    the bound can't make a row enter the list by themselves and are left out of the join. 4. Postings of the other terms meet the items; pairs of which the sum, with all that
+    left-out terms could add, reaches the bound are scored exactly, and what reaches the bound is ranked. So no cap is set and no row lost.
 
-    Joins go by term, row and item, and AQE splits hot ones; no item or posting is broadcast. Null texts hold no term; null and repeated doc_ids are rows of their own, nulls first
+    Items are a stated query set: their terms go to the rows in blocks of about BLOCK_TERMS entries, one job a block, so a hot term shuffles no postings. Null texts hold no term; null and repeated doc_ids are rows of their own, nulls first
     among equal scores; rows of one item_id are one item; other columns are ignored. 64-bit hashes stand for terms.
     """
     asked = pinned(item_terms(items))
@@ -128,26 +203,18 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, stored: int = 32) ->
     top = postings.select("term", "row", part.alias("part")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= stored)
     top = pinned(top.join(weights, "term").select("term", "row", "place", (F.col("w") * F.col("part")).alias("impact")))
     terms = pinned(asked.join(weights, "term").join(top.where("place = 1").select("term", F.col("impact").alias("most")), "term"))
-    lists = terms.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("x"))  # an item's own terms
-    lists = pinned(lists.select("item_id", F.col("x.term").alias("item_term"), F.col("x.w").alias("item_w")))
-
     seeds = pinned(terms.select("item_id", "term").join(top.select("term", "row"), "term").select("item_id", "row").distinct())
-    scored = pinned(_scored(seeds, lists, vectors))
+    scored = _in_blocks(terms, vectors, _of_seeds, ["item_id", "term", "w"], seeds)
     by_score = Window.partitionBy("item_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_first(), "row")
     ranked = lambda x: x.where("score > 0").withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     bound = ranked(scored).where(F.col("rank") == k).select("item_id", F.col("score").alias("bound"))
 
     after = Window.partitionBy("item_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)  # one row a term of the item
     suffix = terms.withColumn("suffix", F.sum("most").over(after)).join(bound, "item_id", "left").withColumn("bound", F.coalesce("bound", F.lit(1).cast("bigint")))
-    left_out = Window.partitionBy("item_id")
-    essential = suffix.withColumn("need", F.col("bound") - F.coalesce(F.max(F.when(F.col("suffix") < F.col("bound"), F.col("suffix"))).over(left_out), F.lit(0)))
-    essential = pinned(essential.where("suffix >= bound").select("term", "w", "item_id", "need"))
-
-    wanted = postings.join(essential.select("term").distinct(), "term", "left_semi").select("term", "row", part.alias("part"))
-    met = wanted.join(essential, "term").groupBy("item_id", "row").agg(F.sum(F.col("w") * F.col("part")).alias("sum"), F.first("need").alias("need"))
-    pairs = met.where("sum >= need").select("item_id", "row").join(seeds, ["item_id", "row"], "left_anti")
-    rest = _scored(pairs, lists, vectors)
-    return ranked(scored.unionAll(rest)).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+    left_out = F.max(F.when(F.col("suffix") < F.col("bound"), F.col("suffix"))).over(Window.partitionBy("item_id"))
+    entries = suffix.withColumn("need", F.col("bound") - F.coalesce(left_out, F.lit(0))).withColumn("essential", F.col("suffix") >= F.col("bound"))
+    found = _in_blocks(pinned(entries), vectors, _of_candidates, ["item_id", "term", "w", "essential", "need", "bound"])
+    return ranked(found).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
 SEARCH_SQL = r"""
