@@ -152,6 +152,7 @@ def _located(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
         F.xxhash64("text").alias("_t"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint"), "text").alias("_h"),
     )
     keys = [F.col("source").asc_nulls_last(), F.col("_h").asc(), F.col("doc_id").asc_nulls_first(), F.col("size").asc(), F.col("_t").asc(), F.col("_tie").asc()]
+    light = pinned(light)  # dealing by range reads its input twice
     fixed = light.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie", "_h", "_t")
     fixed = pinned(fixed.withColumn("_m", F.monotonically_increasing_id())).withColumn("part", F.shiftright("_m", 33))
     inside = Window.partitionBy("part", "source").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
