@@ -17,8 +17,8 @@ from loomwork.llm.common import mix, parts, pinned, shared_dir, texts_buffer
 from loomwork.llm.tokens import Encoder
 
 #: Bytes of text of a block of documents, and of those that are encoded at once.
-BLOCK_BYTES = 8 << 20
-_ENCODED = 1 << 20
+BLOCK_BYTES = 2 << 20
+_ENCODED = 1 << 19
 SALTS = 8
 _STEP, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(1 << 40)
 
@@ -40,16 +40,18 @@ class Tokenizers:
             self.a_bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         piece = self.b.id_to_piece
         self.b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
-
-        self.a_length, self.b_length = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        # With a token for each byte and nothing that changes texts, A's tokens are always those of the whole text.
+        self.a_whole = self.a.t.normalizer is None and {bytes([k]) for k in range(256)} <= set(self.a_bytes)
+        self.a_length, self.b_length = (np.array(list(map(len, x)), np.int32) for x in (self.a_bytes, self.b_bytes))
 
     def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its A ids of space+text and its B ids; none where it is empty or the joined bytes of A or B differ from space+text."""
-        out, none = [], np.zeros(0, np.int64)
+        out, none = [], np.zeros(0, np.int32)
         for text, x, y in zip(texts, self.a.ids([" " + t for t in texts]), self.b.encode(texts, num_threads=1), strict=True):
-            raw, x = (" " + text).encode("utf-8", "surrogatepass"), np.frombuffer(x, "<u4").astype(np.int64)
-            same = text and b"".join(map(self.a_bytes.__getitem__, x.tolist())) == raw and b"".join(map(self.b_bytes.__getitem__, y)) == raw
-            out.append((x, np.array(y, np.int64)) if same else (none, none))
+            raw, x = (" " + text).encode("utf-8", "surrogatepass"), np.frombuffer(x, "<u4").astype(np.int32)
+            same = text and b"".join(map(self.b_bytes.__getitem__, y)) == raw
+            same = same and (self.a_whole or b"".join(map(self.a_bytes.__getitem__, x.tolist())) == raw)
+            out.append((x, np.array(y, np.int32)) if same else (none, none))
         return out
 
     def links(self, group: tuple[tuple[int, ...], tuple[int, ...]]) -> list[tuple[int, int]]:
@@ -94,7 +96,7 @@ def _inside(group: np.ndarray) -> np.ndarray:
 
 def groups_of(x: np.ndarray, y: np.ndarray, t: Tokenizers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group of each A token, group of each B token, hash of each group) of the joined tokens of texts: a group ends where tokens of both end."""
-    ends_x, ends_y = np.cumsum(t.a_length[x]), np.cumsum(t.b_length[y])
+    ends_x, ends_y = np.cumsum(t.a_length[x], dtype=np.int64), np.cumsum(t.b_length[y], dtype=np.int64)
     both = np.zeros(int(ends_x[-1]) + 1 if len(x) else 1, np.int8)
     both[ends_x] += 1
     both[ends_y] += 1
