@@ -8,6 +8,7 @@ from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -20,7 +21,8 @@ from loomwork.llm.tokens import Encoder
 BLOCK_BYTES = 2 << 20
 _ENCODED = 1 << 19
 SALTS = 8
-_STEP, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(1 << 40)
+#: Stretches of text of which a worker remembers B's ids, in each of two generations.
+CACHE_STRETCHES = 250_000
 
 
 class Tokenizers:
@@ -44,14 +46,56 @@ class Tokenizers:
         self.a_whole = self.a.t.normalizer is None and {bytes([k]) for k in range(256)} <= set(self.a_bytes)
         self.a_length, self.b_length = (np.array(list(map(len, x)), np.int32) for x in (self.a_bytes, self.b_bytes))
 
+        #: B ids of stretches as bytes; null where they aren't those of the stretch alone. No piece reaches over a space into the word before it or holds a line end, so cuts before either separate pieces.
+        pieces = [piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_byte(i)]
+        self.cuts = not any("\n" in p or "▁" in p.lstrip("▁") for p in pieces)
+        self.new: dict[str, bytes | None] = {"": b""}
+        self.old: dict[str, bytes | None] = {}
+        self.space = self.b.piece_to_id("▁")
+        rng = np.random.default_rng(11)
+        self.a_hash, self.b_hash, self.powers = (rng.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for n in (len(self.a_bytes), len(self.b_bytes), 1 << 16))
+
+    def learn(self, some: set[str]) -> None:
+        """B ids of stretches, each beginning with the space that B adds, or with a line end."""
+        if len(self.new) > CACHE_STRETCHES:
+            self.old, self.new = self.new, {"": b""}
+        new = []
+        for p in some:
+            if p not in self.new:
+                if p in self.old:
+                    self.new[p] = self.old[p]
+                else:
+                    new.append(p)
+        for p, ids in zip(new, self.b.encode([p[1:] if p[0] == " " else p for p in new], num_threads=1), strict=True):
+            ids = ids[1:] if p[0] != " " and ids and ids[0] == self.space else ids
+            self.new[p] = np.array(ids, "<u4").tobytes() if b"".join(map(self.b_bytes.__getitem__, ids)) == p.encode("utf-8", "surrogatepass") else None
+
+    def whole(self, text: str) -> tuple[bytes, bytes]:
+        """Ids of a text that isn't cut."""
+        raw, y = (" " + text).encode("utf-8", "surrogatepass"), self.b.encode(text)
+        x = np.frombuffer(self.a.one(" " + text), "<u4")
+        if b"".join(map(self.b_bytes.__getitem__, y)) != raw or not self.a_whole and b"".join(map(self.a_bytes.__getitem__, x.tolist())) != raw:
+            return b"", b""
+        return x.tobytes(), np.array(y, "<u4").tobytes()
+
     def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its A ids of space+text and its B ids; none where it is empty or the joined bytes of A or B differ from space+text."""
-        out, none = [], np.zeros(0, np.int32)
-        for text, x, y in zip(texts, self.a.ids([" " + t for t in texts]), self.b.encode(texts, num_threads=1), strict=True):
-            raw, x = (" " + text).encode("utf-8", "surrogatepass"), np.frombuffer(x, "<u4").astype(np.int32)
-            same = text and b"".join(map(self.b_bytes.__getitem__, y)) == raw
-            same = same and (self.a_whole or b"".join(map(self.a_bytes.__getitem__, x.tolist())) == raw)
-            out.append((x, np.array(y, np.int32)) if same else (none, none))
+        cut = [self.a.cut(" " + t) if t and self.cuts and self.a_whole else [] for t in texts]
+        pieces: set[str] = set()
+        for c in cut:
+            pieces.update(c)
+        self.a.learn(pieces)
+        self.learn(pieces)
+        a, b, out = self.a.new.__getitem__, self.new.__getitem__, []
+        for text, c in zip(texts, cut, strict=True):
+            y = list(map(b, c))
+            if not text:
+                x, y = b"", b""
+            elif not c or None in y:
+                x, y = self.whole(text)
+            else:
+                x, y = b"".join(map(a, c)), b"".join(y)
+            out.append((np.frombuffer(x, "<u4").astype(np.int32), np.frombuffer(y, "<u4").astype(np.int32)))
         return out
 
     def links(self, group: tuple[tuple[int, ...], tuple[int, ...]]) -> list[tuple[int, int]]:
@@ -88,23 +132,19 @@ def _tokenizers(a: str, b: str) -> Tokenizers:
     return Tokenizers(a, b)
 
 
-def _inside(group: np.ndarray) -> np.ndarray:
-    """Place of each token in its group, groups being runs of equal numbers."""
-    first = np.flatnonzero(np.concatenate((np.ones(min(len(group), 1), bool), group[1:] != group[:-1])))
-    return np.arange(len(group)) - np.repeat(first, np.diff(np.concatenate((first, [len(group)]))))
-
-
 def groups_of(x: np.ndarray, y: np.ndarray, t: Tokenizers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group of each A token, group of each B token, hash of each group) of the joined tokens of texts: a group ends where tokens of both end."""
     ends_x, ends_y = np.cumsum(t.a_length[x], dtype=np.int64), np.cumsum(t.b_length[y], dtype=np.int64)
     both = np.zeros(int(ends_x[-1]) + 1 if len(x) else 1, np.int8)
     both[ends_x] += 1
     both[ends_y] += 1
-    number, hashes = np.cumsum(both == 2), []
+    number, hashes = np.cumsum(both == 2, dtype=np.int32), []
     own = [number[e] - (both[e] == 2) for e in (ends_x, ends_y)]
-    for ids, g, kind in ((x, own[0], np.uint64(0)), (y, own[1], _OTHER)):
-        h = mix((ids.astype(np.uint64) | kind) + (_inside(g).astype(np.uint64) + np.uint64(1)) * _STEP)
-        hashes.append(np.add.reduceat(h, np.flatnonzero(np.concatenate((np.ones(min(len(g), 1), bool), g[1:] != g[:-1])))) if len(g) else h)
+    for ids, g, table in ((x, own[0], t.a_hash), (y, own[1], t.b_hash)):  # sums of random numbers of ids times one of the place in the group
+        first = np.flatnonzero(np.concatenate((np.ones(min(len(g), 1), bool), g[1:] != g[:-1])))
+        place = np.arange(len(g)) - np.repeat(first, np.diff(np.concatenate((first, [len(g)]))))
+        h = table[ids] * t.powers[place & 0xFFFF]
+        hashes.append(np.add.reduceat(h, first) if len(g) else h)
     return own[0], own[1], mix(hashes[0] * np.uint64(3) + hashes[1])
 
 
@@ -129,7 +169,9 @@ def _blocks(docs: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
                 n_a, n_b = (np.fromiter((len(f[k]) for f in found), np.int64, n) for k in (0, 1))
                 x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
                 of_x, of_y, h = groups_of(x, y, t)
-                _, first, at = np.unique(h, return_index=True, return_inverse=True)
+                at, known = pd.factorize(h)
+                first = np.empty(len(known), np.int64)
+                first[at[::-1]] = np.arange(len(h))[::-1]
                 # Where a text's tokens begin, a group does too.
                 from_x = np.concatenate(([0], np.cumsum(n_a)))
                 start = np.concatenate((of_x, [len(h)]))[np.minimum(from_x, len(of_x))]
