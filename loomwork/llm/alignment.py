@@ -176,8 +176,8 @@ def _blocks(docs: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
                 from_x = np.concatenate(([0], np.cumsum(n_a)))
                 start = np.concatenate((of_x, [len(h)]))[np.minimum(from_x, len(of_x))]
                 n_groups = np.diff(start)
-                span = lambda of, g: (int(np.searchsorted(of, g)), int(np.searchsorted(of, g, "right")))
-                distinct = [(x[slice(*span(of_x, g))].tolist(), y[slice(*span(of_y, g))].tolist()) for g in first.tolist()]
+                edges = [np.searchsorted(of, first.astype(of.dtype), side).tolist() for of in (of_x, of_y) for side in ("left", "right")]
+                distinct = [(x[p:q].tolist(), y[r:s].tolist()) for p, q, r, s in zip(*edges, strict=True)]
                 text = [b"%s|%s" % (b",".join(b"%d" % i for i in p), b",".join(b"%d" % i for i in q)) for p, q in distinct]
                 sha = [hashlib.sha256(b";".join(map(text.__getitem__, at[p:q].tolist()))).hexdigest() if q > p else "" for p, q in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
                 pair, times = np.unique(np.repeat(np.arange(n), n_groups) * max(1, len(distinct)) + at, return_counts=True)
