@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as x
 from loomwork.operators import lines as ln
+from loomwork.operators import packing as pk
 from loomwork.operators import rollups as ru
 from loomwork.operators.common import distinct_listed, exact_sum, listed, mean, place, rounded, share
 from loomwork.plans import sqltext as sql
@@ -433,13 +434,15 @@ def q_similar_qa(t):
     return a.join(b, "conv_id").groupBy("conv_id", "turn").agg(F.max(like).alias("similarity")).where("similarity > 0.1")
 
 
-@query()
-def q_chunk_report(t):
-    """Result lines of each run packed into texts of at most 400 characters."""
-    line = F.concat_ws(" | ", "case_id", "band", F.col("width").cast("string"), "verdict")
-    texts = t.result.groupBy(F.col("run_id").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
-    return ln.packed(texts, "doc_id", _by_400, "content string")
+_HEAD = "'run ' || run_id || ' / ' || coalesce(band, '-')"
+_LINE = "concat_ws(' | ', case_id, CAST(width AS VARCHAR), verdict)"
 
 
-def _by_400(text: str):
-    return ln.by_budget(text, 400)
+@query(f"""WITH RECURSIVE l AS MATERIALIZED (SELECT run_id, band, run_id || '/' || coalesce(band, '') AS k, row_number() OVER (ORDER BY {_LINE}) AS o, {_LINE} AS line, {_HEAD} AS head FROM result),
+    {sql.packs("SELECT k, o, length(line) AS size, 609 - 1 - length(head) AS budget FROM l", nested=True)}
+    SELECT run_id, band, pack, any_value(head) || chr(10) || string_agg(line, chr(10) ORDER BY o) AS content FROM packed JOIN l USING (k, o) GROUP BY run_id, band, pack""")
+def q_chunk_report(t):
+    """Result lines of each run and band, packed under their heading within 380 tokens."""
+    line = F.concat_ws(" | ", "case_id", F.col("width").cast("string"), "verdict")
+    head = F.concat(F.lit("run "), F.col("run_id").cast("string"), F.lit(" / "), F.coalesce("band", F.lit("-")))
+    return pk.headed(t.result.select("run_id", "band", line.alias("line")), ["run_id", "band"], ["line"], "line", head)

@@ -52,3 +52,16 @@ def nearest(asked: str, most: int) -> str:
     """Common table expression dense(question, vec_id, score, rank)."""
     return f"""dense AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS question, e.vec_id AS vec_id,
     {rounded("list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))")} AS score FROM embeddings e, ({asked}) q) QUALIFY rank <= {most})"""
+
+
+def raw_tokens(x: str) -> str:
+    """Words (Latin) of a text as a list, in lower case."""
+    return f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9][a-z0-9.+/_-]*')"
+
+
+def packs(rows: str, joint: int = 1, nested: bool = False) -> str:
+    """WITH clause of ``packed`` (k, o, n, pack): rows(k, o, size, budget) packed greedily, walked one row a step; ``nested``: inside another WITH RECURSIVE."""
+    fits = f"p.used + {joint} + r.size <= r.budget"
+    return f"""{'' if nested else 'WITH RECURSIVE '}ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o) - 1 AS n FROM ({rows})),
+    packed AS (SELECT k, o, n, size AS used, CAST(0 AS BIGINT) AS pack FROM ordered WHERE n = 0 UNION ALL
+    SELECT r.k, r.o, r.n, CASE WHEN {fits} THEN p.used + {joint} + r.size ELSE r.size END, CASE WHEN {fits} THEN p.pack ELSE p.pack + 1 END FROM packed AS p JOIN ordered AS r ON r.k = p.k AND r.n = p.n + 1)"""

@@ -9,7 +9,9 @@ from loomwork.streaming import runs
 
 
 def _events(t):
-    return runs.events(t.spark, f"{t.folder}/events.parquet", "40 days")
+    """The events as a stream; late ones are those that come after the whole time that the table spans (and a day), so none of it is dropped, whatever the order of its files."""
+    span = t["events"].agg(F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).first()[0] or 0
+    return runs.events(t.spark, f"{t.folder}/events.parquet", f"{span // 86_400 + 2} days")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as x
 from loomwork.operators import lines as ln
+from loomwork.operators import packing as pk
 from loomwork.operators import names as nm
 from loomwork.operators.common import distinct_listed, place, rounded
 from loomwork.plans import sqltext as sql
@@ -170,7 +171,12 @@ def fn_detect_language(t):
     return t["documents"].select("doc_id", x.language_guess("text").alias("guess"), "lang")
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{x.VALUE_PATTERN.replace('(?:', '(?:')}'), lambda v: trim(v)))), ' ') AS stated FROM documents")
+_RUNS = rf"list_transform(regexp_extract_all(regexp_replace(text, '{x.SPACED_UNIT}', '\1\2_\3', 'g'), '{x.VALUE_RUN}'), lambda v: regexp_replace(v, '^[.-]+|[.-]+$', '', 'g'))"
+_VALUES = f"list_transform({_RUNS}, lambda v: CASE WHEN regexp_matches(v, '{x.JOINED_UNIT}') THEN replace(v, '_', ' ') ELSE v END)"
+_STATED = f"list_filter({_VALUES}, lambda v: regexp_matches(v, '[0-9]') AND NOT regexp_matches(v, '{x.ORDINAL}') AND (NOT regexp_matches(v, '^[0-9]+$') OR length(v) >= 3))"
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct({_STATED})), ' ') AS stated FROM documents")
 def fn_extract_values(t):
     return t["documents"].select("doc_id", F.array_join(F.array_sort(x.stated_values("text")), " ").alias("stated"))
 
@@ -461,10 +467,23 @@ def q_chunk_headers(t):
     return ln.packed(t["documents"], "doc_id", ln.by_headings, "heading string, content string").select("doc_id", "part", "heading", F.length("content").cast("bigint").alias("size"), F.md5("content").alias("digest"))
 
 
-@query()
+@query(f"{sql.packs('SELECT doc_id AS k, idx AS o, length(body) AS size, 1200 AS budget FROM chunk')} SELECT k AS doc_id, o AS idx, n, pack FROM packed")
+def win_running_pack(t):
+    """Lines of a document with the pack of up to 1200 characters into which they fall."""
+    return pk.packs(t.chunk.select("doc_id", "idx", "body"), ["doc_id"], ["idx"], F.length("body"), 1200).select("doc_id", "idx", "n", "pack")
+
+
+_PLACED = """SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT doc_id, idx, section, trim(body) AS body, CASE WHEN section IS NOT DISTINCT FROM lag(section) OVER (PARTITION BY doc_id ORDER BY idx) THEN 0 ELSE 1 END AS new FROM chunk WHERE trim(body) <> '')"""
+
+
+@query(f"""WITH RECURSIVE placed AS MATERIALIZED ({_PLACED}), {sql.packs("SELECT doc_id * 100000 + run AS k, idx AS o, length(body) AS size, 1200 AS budget FROM placed", nested=True)},
+    made AS (SELECT doc_id, run, pack, min(idx) AS first_idx, arg_min(section, idx) AS section, string_agg(body, chr(10) ORDER BY idx) AS content, bool_or(contains(body, '|')) AS tabular, count(*) AS n_segments FROM placed JOIN packed ON k = doc_id * 100000 + run AND o = idx GROUP BY doc_id, run, pack)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_idx) AS ordinal, section, n_segments, length(content) AS size, md5(content) AS digest, tabular AND pack > 0 AS continued FROM made""")
 def q_chunk_segments(t):
-    """Lines packed up to 1200 characters; nothing is dropped."""
-    return ln.packed(t["documents"], "doc_id", ln.by_budget, "content string").select("doc_id", "part", F.length("content").cast("bigint").alias("size"), F.md5("content").alias("digest"))
+    """Segments of one place packed up to 1200 characters; a longer one stays whole. ``continued`` tells that a table goes on, so that its header is shown again."""
+    return pk.segment_chunks(t.chunk.select("doc_id", "idx", "section", "body"), "doc_id", "idx", "section", "body", 1200).select(
+        "doc_id", "ordinal", "section", "n_segments", F.length("content").cast("bigint").alias("size"), F.md5("content").alias("digest"), "continued"
+    )
 
 
 @query("SELECT doc_id, part, length(substr(text, CAST(part * 800 + 1 AS BIGINT), 1000)) AS size, md5(substr(text, CAST(part * 800 + 1 AS BIGINT), 1000)) AS digest FROM (SELECT doc_id, text, unnest(range(CAST(CASE WHEN length(text) = 0 THEN 0 ELSE ceil(greatest(length(text) - 200, 1) / 800.0e0) END AS BIGINT))) AS part FROM documents)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -126,9 +127,14 @@ def workbook_cells(files: DataFrame, most_bytes: int = 20 << 20, most_cells: int
                 raise ValueError("too large")
             tree = lambda name: ElementTree.fromstring(z.read(name))
             shared = ["".join(t.text or "" for t in x.iter(f"{{{spaces['m']}}}t")) for x in tree("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in z.namelist() else []
-            names = [x.get("name") for x in tree("xl/workbook.xml").iterfind(".//m:sheet", spaces)]
-            for k, name in enumerate(names, 1):
-                for c in tree(f"xl/worksheets/sheet{k}.xml").iterfind(".//m:c", spaces):
+            office = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+            rels = "xl/_rels/workbook.xml.rels"
+            parts = {x.get("Id"): x.get("Target") for x in tree(rels)} if rels in z.namelist() else {}
+            for k, x in enumerate(tree("xl/workbook.xml").iterfind(".//m:sheet", spaces), 1):
+                # A sheet's part is the one its relationship names; workbooks without relationships have them by number.
+                name, part = x.get("name"), parts.get(x.get(office), f"worksheets/sheet{k}.xml")
+                part = part.lstrip("/") if part.startswith("/") else posixpath.normpath(f"xl/{part}")
+                for c in tree(part).iterfind(".//m:c", spaces):
                     letters, number = re.fullmatch("([A-Z]+)([0-9]+)", c.get("r")).groups()
                     col = reduce(lambda n, x: 26 * n + ord(x) - 64, letters, 0) - 1
                     value = "".join(t.text or "" for t in c.iter(f"{{{spaces['m']}}}t")) if c.get("t") == "inlineStr" else c.findtext("m:v", None, spaces)
