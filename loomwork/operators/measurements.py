@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.operators.common import all_of, exact_sum, mean, null_safe_join, rounded, share
+from loomwork.operators.selection import quantiles
+from loomwork.operators.storage import saved
 
 #: Dimensions in which two values of a metric may differ without being the same point.
 DIMENSIONS = ("case_id", "metric", "unit", "band", "width", "channel", "direction", "sample", "sheet")
@@ -96,10 +98,11 @@ def last_point(points: DataFrame, *keys: str) -> DataFrame:
 
 def throughput_scope(points: DataFrame) -> DataFrame:
     """Median and extremes of the last value of each channel and case, by band, width and direction."""
-    last = last_point(points, "run_id", "case_id", "band", "width", "direction", "channel")
-    return last.groupBy("band", "width", "direction").agg(
-        F.count("*").alias("n"), rounded(F.percentile("value", 0.5), 4).alias("median"), F.min("value").alias("minimum"), F.max("value").alias("maximum")
-    )
+    keys = ["band", "width", "direction"]
+    last = saved(last_point(points, "run_id", "case_id", *keys, "channel"))
+    stats = last.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("minimum"), F.max("value").alias("maximum"))
+    middle = quantiles(last, keys, "value", [0.5]).select(*keys, rounded(F.col("q")[0], 4).alias("median"))  # few groups, each of any size
+    return null_safe_join(stats, middle, keys, "left").select(*keys, "n", "median", "minimum", "maximum")
 
 
 def curve_features(points: DataFrame, curve: Sequence[str], x: str = "sample", least: int = 3) -> DataFrame:
