@@ -61,11 +61,35 @@ def test_groups_equal_all_pairs(spark):
     assert drop_near_copies(docs.limit(0)).count() == 0
 
 
-def test_rows_over_the_broadcast_bound_are_joined_alike(spark, monkeypatch):
-    docs = documents(spark, edited(random.Random(5)))
-    few = sorted(str(r["doc_id"]) for r in drop_near_copies(docs).collect())
-    monkeypatch.setattr(near_copies, "BROADCAST_ROWS", 0)
-    assert sorted(str(r["doc_id"]) for r in drop_near_copies(docs).collect()) == few
+def test_chunks_of_any_load_verify_the_same_pairs(spark):
+    texts = edited(random.Random(5)) + [(900, "long " * 30_000 + "end"), (901, "long " * 30_000 + "end of it"), (902, " ".join(f"w{i}" for i in range(20_000))), (903, " ".join(f"w{i}" for i in range(20_100)))]
+    docs = documents(spark, texts)
+    sets = {k: shingles(t) for k, t in texts if k is not None}
+    rows = near_copies.copy_classes(docs, np.zeros(0, np.uint64), 0.8).where("doc_id is not null")
+    first = {}
+    for r in rows.select("doc_id", "key").collect():
+        first.setdefault(r["key"], r["doc_id"])
+    every = spark.createDataFrame([(x, y) for x in first for y in first if x < y], "a bigint, b bigint")
+    want = {(x, y) for x in first for y in first if x < y for p, q in [(sets[first[x]], sets[first[y]])] if len(p & q) >= 0.8 * len(p | q)}
+    assert len(want) > 20
+    for load in (300, 1 << 18):
+        got = [(r["a"], r["b"]) for r in near_copies._verified(every, rows, docs, 0.8, load).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_one_bucket_streams_in_any_batches():
+    import pyarrow as pa
+
+    rows = sorted([(5, None, 1, 10, 0)] + [(7, None, k, 10, 0) for k in (3, 4, 4, 5, 6, 8)] + [(9, 2, 1, 10, 0), (11, None, 1, 10, 0), (11, None, 1, 10, 0)] + [(12, 3, k, 12, 1) for k in (1, 2, 3)])
+    want_pairs = {(3, 4), (4, 5), (5, 6), (6, 8), (3, 5), (3, 6), (3, 8), (1, 2), (2, 3), (1, 3)}
+    want_rows = [(2, 1), (3, 1), (3, 2), (3, 3)] + [(7, k) for k in (3, 4, 5, 6, 8)]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    for step in (1, 2, 3, 5, 100):
+        some = [rows[k : k + step] for k in range(0, len(rows), step)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*x, strict=True), kinds, strict=True)], ["s", "v", "key", "n", "i"]) for x in some]
+        told = [r for b in near_copies._met(iter(batches), 0.8) for r in b.to_pylist()]
+        assert {(r["a"], r["b"]) for r in told if r["a"] is not None} == want_pairs
+        assert sorted((r["g"], r["key"]) for r in told if r["a"] is None) == want_rows
 
 
 def test_stage_drops_edited_copies(spark):
