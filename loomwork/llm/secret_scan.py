@@ -172,6 +172,26 @@ class Automaton:
     code: bytes = b""  # byte_class for bytes.translate
 
 
+def _least(table: np.ndarray, accept: np.ndarray) -> np.ndarray:
+    """The group of each state in the smallest automaton: groups are split until all states of one go to the same groups.
+
+    Rows are compared by a 64-bit sum in each round; the last groups are compared row by row, so equal sums of different rows change nothing but the number of rounds."""
+    weight = np.random.default_rng(1).integers(1, 1 << 63, table.shape[1] + 1, dtype=np.uint64) | np.uint64(1)
+    group = np.unique(accept, return_inverse=True)[1]
+    while True:
+        key = group.astype(np.uint64) * weight[0]
+        for c in range(table.shape[1]):
+            key += (group[table[:, c]].astype(np.uint64) + np.uint64(1)) * weight[c + 1]
+        finer = np.unique(np.stack((group.astype(np.uint64), key), 1).view([("g", "u8"), ("k", "u8")]).ravel(), return_inverse=True)[1]
+        if finer.max() > group.max():
+            group = finer
+            continue
+        _, first = np.unique(group, return_index=True)
+        if np.array_equal(group[table], group[table[first[group]]]):
+            return group
+        group = np.unique(np.concatenate((group[:, None], group[table]), axis=1), axis=0, return_inverse=True)[1].ravel()
+
+
 def compile_rules(patterns: list[tuple[str, bool]], anywhere: bool, backward: bool = False, shortest: bool = False) -> Automaton:
     """Subset construction and minimisation of all patterns into one automaton.
 
@@ -194,53 +214,60 @@ def compile_rules(patterns: list[tuple[str, bool]], anywhere: bool, backward: bo
                 free[b].append(a)
         starts, finals = [b for _, b in ends], {a: 1 << r for r, (a, _) in enumerate(ends)}
 
-    def closure(states) -> frozenset[int]:
-        seen, todo = set(states), list(states)
+    def closure(state: int) -> int:
+        seen, todo = {state}, [state]
         while todo:
             for b in free[todo.pop()]:
                 if b not in seen:
                     seen.add(b)
                     todo.append(b)
-        return frozenset(seen)
+        return sum(1 << x for x in seen)
 
-    closed = [closure([s]) for s in range(n)]
     sets = list(dict.fromkeys(chars for s in step for chars, _ in s))
     profile = [tuple(b in chars for chars in sets) for b in range(256)]
     names = {p: i for i, p in enumerate(dict.fromkeys(profile))}
     byte_class = np.array([names[p] for p in profile], np.uint8)
     sample = [profile.index(p) for p in names]
 
-    first = closure(starts)
-    number, order, rows = {first: 0}, [first], []
+    # A set of states is one integer, bit s for state s; moves[s] has (byte class, closed set reached).
+    closed = [closure(s) for s in range(n)]
+    moves = [[(c, closed[b]) for chars, b in step[s] for c, byte in enumerate(sample) if byte in chars] for s in range(n)]
+    useful = sum(1 << s for s in range(n) if moves[s])
+    final = sum(1 << s for s in finals)
+    own = [sum(1 << s for s in range(n) if owner[s] == r) for r in range(len(patterns))]
+    begin = 0
+    for s in starts:
+        begin |= closed[s]
+
+    def bits(x: int) -> list[int]:
+        out = []
+        while x:
+            out.append((x & -x).bit_length() - 1)
+            x &= x - 1
+        return out
+
+    number, order, rows = {begin: 0}, [begin], []
     while len(rows) < len(order):
-        here = [(chars, b) for s in order[len(rows)] for chars, b in step[s]]
-        row = []
-        for byte in sample:
-            to = set(first) if anywhere else set()
-            for chars, b in here:
-                if byte in chars:
-                    to |= closed[b]
-            if shortest and (done := {owner[x] for x in to if x in finals}):
-                to = {x for x in to if x in finals or owner[x] not in done} | first
-            key = frozenset(to)
-            if key not in number:
-                number[key] = len(order)
-                order.append(key)
-            row.append(number[key])
+        row = [begin if anywhere else 0] * len(sample)
+        for s in bits(order[len(rows)] & useful):
+            for c, to in moves[s]:
+                row[c] |= to
+        for c, to in enumerate(row):
+            if shortest and to & final:
+                for r in {owner[x] for x in bits(to & final)}:
+                    to &= ~own[r] | final
+                to |= begin
+            if to not in number:
+                number[to] = len(order)
+                order.append(to)
+            row[c] = number[to]
         rows.append(row)
     table = np.array(rows, np.int32)
-    accept = np.array([sum({finals[s] for s in states if s in finals}) for states in order], np.int32)
-
-    group = np.unique(accept, return_inverse=True)[1]
-    while True:  # split groups until all states of one go to the same groups
-        key = np.concatenate((group[:, None], group[table]), axis=1)
-        finer = np.unique(key, axis=0, return_inverse=True)[1].ravel()
-        if finer.max() == group.max():
-            break
-        group = finer
+    accept = np.array([sum(finals[s] for s in bits(x & final)) for x in order], np.int32)
+    group = _least(table, accept)
     rank = {g: i for i, g in enumerate(dict.fromkeys(group.tolist()))}  # the start stays 0
     group = np.array([rank[g] for g in group.tolist()])
-    pick = np.array([int(np.argmax(group == g)) for g in range(len(rank))])
+    pick = np.unique(group, return_index=True)[1]
     table, accept = group[table[pick]].astype(np.int32), accept[pick]
     dead = np.flatnonzero((table == np.arange(len(table))[:, None]).all(1) & (accept == 0))
     return Automaton(
