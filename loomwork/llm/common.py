@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,24 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def short_lived(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For an operator whose first argument is a DataFrame: shuffle files of its inner jobs go once each job's result is in shared storage, not when
+    the driver next collects garbage. The session's own setting is put back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        conf = docs.sparkSession.conf
+        was = conf.get(name, "false")
+        conf.set(name, "true")
+        try:
+            return operator(docs, *args, **kwargs)
+        finally:
+            conf.set(name, was)
+
+    return run
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that is read no more."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

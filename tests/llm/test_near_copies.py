@@ -99,3 +99,10 @@ def test_stage_drops_edited_copies(spark):
     other = [w if i not in (20, 60) else "changed" for i, w in enumerate(words)]
     docs = documents(spark, [(1, " ".join(words)), (2, " ".join(other)), (3, "a text of its own stands here")])
     assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "").collect()} == {1, 3}
+
+
+def test_the_setting_of_the_session_is_put_back(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    drop_near_copies(documents(spark, [(1, "one two three"), (2, "one two three")])).count()
+    assert spark.conf.get(name) == was
