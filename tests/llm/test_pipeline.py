@@ -56,12 +56,14 @@ def test_stages_against_plain_code(spark):
 def test_every_query_gives_a_row_for_each_document(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     found = queries()
-    assert len(found) == 10
-    for name in ("op2_pii_spans", "op3_language_id", "op6_feistel_sharding", "op8_simhash_dedup", "op9_orc_tokens", "op10_secret_scan"):
+    assert len(found) == 13
+    for name in ("op2_pii_spans", "op3_language_id", "op6_feistel_sharding", "op8_simhash_dedup", "op9_orc_tokens", "op10_secret_scan", "op11_group_alignment", "op12_source_mix"):
         assert found[name](spark, SF).count() == n, name
     assert found["op4_embedding_near_dedup"](spark, SF).count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert found["op7_harmonic_packing"](spark, SF).select("doc_id").distinct().count() == n
     assert found["op1_license_scan"](spark, SF).count() > 0 and found["op5_decontamination"](spark, SF).count() > 0
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").count()
+    assert 0 < found["op13_ranked_search"](spark, SF).select("item_id").distinct().count() <= items
 
 
 def test_no_rows_nulls_and_very_long_texts_pass_all_stages(spark):
