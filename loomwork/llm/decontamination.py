@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import parts, shingles, texts_buffer, words
 
 GRAM = 3
+SHARED = 8  # a gram at more places of items is no seed by itself
 _BUCKETS = 512
 _HITS = 1 << 21
 _CELLS = 1 << 20
@@ -42,9 +43,13 @@ def align(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Items:
-    """A block of benchmark items: word hashes, all their n-grams as seeds, and a table of the hash buckets of their words."""
+    """A block of benchmark items: word hashes, their n-grams, and a table of the hash buckets of their words.
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    A gram at up to ``shared`` places of items is a rare seed. A commoner one is kept by item, beside the item's rarest words: so many
+    that an alignment of ``least`` matches one of them.
+    """
+
+    def __init__(self, ids: list, texts: list[str | None], least: float, shared: int = SHARED):
         data, offsets = texts_buffer(pa.array(texts, pa.string()))
         h, row = words(data, offsets)
         cut = np.searchsorted(row, np.arange(len(ids) + 1))
@@ -59,28 +64,105 @@ class Items:
         seed, owner, place, length = join(gram, np.uint64), join(item, np.int64), join(offset, np.int64), join(length, np.int64)
         self.lengths = np.unique(length).tolist()
         order = np.argsort(seed, kind="stable")
-        self.seed, self.seed_item, self.seed_offset = seed[order], owner[order], place[order]
+        seed, owner, place = seed[order], owner[order], place[order]
+        _, nth, times = np.unique(seed, return_inverse=True, return_counts=True)
+        rare = times[nth] <= shared if len(seed) else np.zeros(0, bool)
+        self.seed, self.seed_item, self.seed_offset = seed[rare], owner[rare], place[rare]
+        self.common = np.unique(seed[~rare])
+        by_item = np.argsort(owner[~rare], kind="stable")
+        self.common_gram = np.searchsorted(self.common, seed[~rare])[by_item]
+        self.common_offset, owner = place[~rare][by_item], owner[~rare][by_item]
+        self.common_edge = np.searchsorted(owner, np.arange(len(ids) + 1))
+        self._rarest_words(np.unique(owner).tolist(), least)
         self.table = np.zeros((len(ids), _BUCKETS), bool)
         for i, w in enumerate(self.words):
             self.table[i, w % np.uint64(_BUCKETS)] = True
 
+    def _rarest_words(self, owners: list[int], least: float) -> None:
+        """``word`` and ``word_item``: of each item with common grams, the words that fewest such items hold.
+
+        An alignment of ``least`` matches ``least`` of the item's n places, so it misses fewer than the n - least * n + 1 places taken here.
+        """
+        held = np.concatenate([np.unique(self.words[i]) for i in owners]) if owners else np.zeros(0, np.uint64)
+        known, holders = np.unique(held, return_counts=True)
+        taken = []
+        for i in owners:
+            w = self.words[i]
+            places = len(w) - max(1, int(np.ceil(least * len(w) - 1e-9))) + 1
+            taken.append(np.unique(w[np.lexsort((w, holders[np.searchsorted(known, w)]))[:places]]))
+        word = np.concatenate(taken) if taken else np.zeros(0, np.uint64)
+        item = np.repeat(np.array(owners, np.int64), [len(t) for t in taken])
+        order = np.argsort(word, kind="stable")
+        self.word, self.word_item = word[order], item[order]
+        self.reach = max((2 * len(self.words[i]) + 8 for i in owners), default=0)
+
     def grams(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         got = [shingles(h, row, n) for n in self.lengths]
         return np.concatenate([g for g, _ in got]), np.concatenate([p for _, p in got])
 
 
+def _spread(low: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """low[k], low[k] + 1, ... for times[k] numbers, one k after the other."""
+    return np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+
+
+def _common_pairs(x: Items, h: np.ndarray, row: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """row * number of items + item, sorted, of the items with common grams of which one of the rarest words stands near a place of ``pos``.
+
+    An item without one can't reach the score there, so nothing is lost, and a phrase that many items share meets none of them by itself.
+    """
+    edge = np.zeros(len(h) + 1, np.int64)
+    np.add.at(edge, np.maximum(pos - x.reach, 0), 1)
+    np.add.at(edge, np.minimum(pos + x.reach + GRAM, len(h)), -1)
+    near = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    low = np.searchsorted(x.word, h[near])
+    times = np.searchsorted(x.word, h[near], "right") - low
+    part, pairs = np.cumsum(times) // _HITS, np.zeros(0, np.int64)
+    for k in np.unique(part):
+        some = part == k
+        found = np.repeat(row[near[some]], times[some]) * len(x.ids) + x.word_item[_spread(low[some], times[some])]
+        pairs = np.unique(np.concatenate((pairs, found)))
+    return pairs
+
+
 def _matches(x: Items, h: np.ndarray, row: np.ndarray, least: float) -> list[tuple[int, int, float, int, int]]:
     """(row, item, score, first word, last word) of the best passage of each row and item with a seed."""
+    if not len(h):
+        return []
     gram, pos = x.grams(h, row)
-    low, high = np.searchsorted(x.seed, gram), np.searchsorted(x.seed, gram, "right")
-    hit = np.flatnonzero(high > low)
-    low, times, pos = low[hit], (high - low)[hit], pos[hit]
     order = np.argsort(pos, kind="stable")
-    low, times, pos = low[order], times[order], pos[order]
-    part = np.cumsum(times) // _HITS  # rows are taken together while they have few hits
-    first = np.flatnonzero(np.concatenate(([True], np.diff(row[pos]) != 0))) if len(pos) else np.zeros(0, np.int64)
-    cut = [int(f) for k, f in enumerate(first) if k == 0 or part[f] != part[first[k - 1]]] + [len(pos)]
-    return [m for a, b in zip(cut, cut[1:], strict=False) for m in _aligned(x, h, row, low[a:b], times[a:b], pos[a:b], least)]
+    gram, pos = gram[order], pos[order]
+    low = np.searchsorted(x.seed, gram)
+    times = np.searchsorted(x.seed, gram, "right") - low  # at most SHARED
+    hit = np.flatnonzero(times)
+    low, times, at = low[hit], times[hit], pos[hit]
+    kind = np.searchsorted(x.common, gram)
+    hit = np.flatnonzero(x.common[np.minimum(kind, len(x.common) - 1)] == gram) if len(x.common) else np.zeros(0, np.int64)
+    code, place = row[pos[hit]] * len(x.common) + kind[hit], pos[hit]
+    pairs = _common_pairs(x, h, row, place) if len(place) else np.zeros(0, np.int64)
+    order = np.argsort(code, kind="stable")
+    code, place = code[order], place[order]
+    doc, item = pairs // len(x.ids), pairs % len(x.ids)
+    size = x.common_edge[item + 1] - x.common_edge[item]
+    rows = int(row[-1]) + 1
+    load = np.bincount(row[at], times, rows) + np.bincount(doc, size, rows)
+    part = (np.cumsum(load) // _HITS).astype(np.int64)  # rows are taken together while they have few hits
+    out = []
+    for k in np.unique(part[load > 0]):
+        a, b = np.searchsorted(part, k), np.searchsorted(part, k, "right")
+        some = slice(*np.searchsorted(row[at], [a, b]))
+        seed = _spread(low[some], times[some])
+        twin = slice(*np.searchsorted(doc, [a, b]))
+        own = _spread(x.common_edge[item[twin]], size[twin])
+        wanted = np.repeat(doc[twin], size[twin]) * len(x.common) + x.common_gram[own]
+        first = np.searchsorted(code, wanted)
+        many = np.searchsorted(code, wanted, "right") - first
+        met = np.concatenate((x.seed_item[seed], np.repeat(np.repeat(item[twin], size[twin]), many)))
+        offset = np.concatenate((x.seed_offset[seed], np.repeat(x.common_offset[own], many)))
+        where = np.concatenate((np.repeat(at[some], times[some]), place[_spread(first, many)]))
+        if len(met):
+            out += _aligned(x, h, row, met, offset, where, least)
+    return out
 
 
 def _worth(x: Items, h: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -110,10 +192,8 @@ def _together(cases: list[tuple[int, int, int, int]]) -> Iterator[list[tuple[int
             at = end
 
 
-def _aligned(x: Items, h: np.ndarray, row: np.ndarray, low: np.ndarray, times: np.ndarray, pos: np.ndarray, least: float) -> list[tuple[int, int, float, int, int]]:
-    seed = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    pos = np.repeat(pos, times)
-    item, start = x.seed_item[seed], pos - x.seed_offset[seed]
+def _aligned(x: Items, h: np.ndarray, row: np.ndarray, item: np.ndarray, offset: np.ndarray, pos: np.ndarray, least: float) -> list[tuple[int, int, float, int, int]]:
+    start = pos - offset
     order = np.lexsort((start, item, row[pos]))
     item, start, doc = item[order], start[order], row[pos][order]
     size = np.array([len(w) for w in x.words])
@@ -151,15 +231,15 @@ def _aligned(x: Items, h: np.ndarray, row: np.ndarray, low: np.ndarray, times: n
     return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
 
-def _blocks(docs: DataFrame, items: DataFrame, block_items: int) -> Iterator:
+def _blocks(docs: DataFrame, items: DataFrame, least: float, block_items: int) -> Iterator:
     """Benchmark items in blocks of about ``block_items``."""
     sc = docs.sparkSession.sparkContext
     items = items.select("item_id", "text")
     blocks = -(-items.count() // block_items)
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        x = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-        if len(x.seed):
+        x = Items([r["item_id"] for r in rows], [r["text"] for r in rows], least)
+        if x.lengths:
             yield sc.broadcast(x)  # bounded by block_items
 
 
@@ -167,14 +247,16 @@ def find_passages(docs: DataFrame, items: DataFrame, least: float = 0.5, block_i
     """(doc_id, item_id, score, first_word, last_word): the best passage of each document row and benchmark item whose alignment
     scores ``least`` or more of a full match; words count from 0.
 
-    Seeds are all 3-grams of an item, however many documents hold them; a document with a seed is aligned around it unless too few words
-    of the item stand there for the score. Only a passage without three words of its item in a row has no seed.
+    Seeds are the 3-grams that stand at up to SHARED places of the items, however many documents hold them: a word of a document meets at
+    most as many items. The commoner 3-grams, and so items without rare ones, are met by a second, exact way: an item counts only where one
+    of its rarest words stands near, of which the score needs one. A document is aligned around a seed unless too few words of the item stand
+    there for the score. Only a passage without three words of its item in a row has no seed.
     Null or empty texts and items match nothing. Items that repeat and documents that repeat give rows of their own. Documents are read in
     place and never shuffled; items are taken in blocks of a bounded size.
     """
     out = None
     schema = "doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint"
-    for held in _blocks(docs, items, block_items):
+    for held in _blocks(docs, items, least, block_items):
 
         def each(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -195,7 +277,7 @@ def find_passages(docs: DataFrame, items: DataFrame, least: float = 0.5, block_i
 def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, block_items: int = 20_000) -> DataFrame:
     """The rows in which no passage is found; rows and columns are otherwise as they were."""
     at = docs.columns.index("text")
-    for held in _blocks(docs, items, block_items):
+    for held in _blocks(docs, items, least, block_items):
 
         def each(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:

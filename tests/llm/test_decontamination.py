@@ -1,6 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
+from loomwork.llm import decontamination
+from loomwork.llm.common import texts_buffer
 from loomwork.llm.decontamination import drop_contaminated, find_passages
 from tests.llm.fixtures import documents, hard_texts
 
@@ -86,3 +91,48 @@ def test_a_long_item_is_aligned_in_bounded_tables(spark):
     texts = [(k, f"{prose(rng, 50)} {' '.join(w)}") for k in range(3)] + [(9, prose(rng, 100))]
     got = {r["doc_id"]: r["score"] for r in find_passages(documents(spark, texts), spark.createDataFrame([(1, long), (2, prose(rng, 20))], "item_id bigint, text string")).collect()}
     assert set(got) == {0, 1, 2} and all(0.6 < s < 0.9 for s in got.values())
+
+
+def matches(items, texts, shared, least=0.5):
+    x = decontamination.Items(list(range(len(items))), items, least, shared)
+    h, row = decontamination.words(*texts_buffer(pa.array(texts, pa.string())))
+    return decontamination._matches(x, h, row, least)
+
+
+def test_both_ways_find_what_all_grams_find():
+    rng = random.Random(12)
+    phrases = ["one of the most", "which of the following is the best answer", "in the end"]
+    for least in (0.3, 0.5, 0.8):
+        items = [f"{rng.choice(phrases)} {prose(rng, rng.randint(3, 25))} {rng.choice(phrases)}" for _ in range(60)] + [None, "", "al", "in the", phrases[1], phrases[1]]
+        texts = [f"{prose(rng, rng.randint(0, 90))} {rng.choice(phrases)} {prose(rng, 9)}" for _ in range(60)] + [t for _, t in hard_texts()]
+        for _ in range(150):
+            w = items[rng.randrange(60)].split()
+            for _ in range(rng.randint(0, len(w) // 2)):
+                i = rng.randrange(len(w))
+                w[i : i + 1] = rng.choice([[], ["new"], [w[i], "more"]])
+            texts.append(f"{prose(rng, rng.randint(0, 60))} {' '.join(w)} {rng.choice(phrases)} {prose(rng, rng.randint(0, 60))}")
+        every = matches(items, texts, 1 << 30, least)
+        assert len(every) > 100
+        assert matches(items, texts, 8, least) == matches(items, texts, 0, least) == every
+
+
+def test_hits_are_the_same_in_small_parts(monkeypatch):
+    rng = random.Random(14)
+    items = [f"one of the most {prose(rng, 12)}" for _ in range(40)]
+    texts = [f"{items[k % 40]} {prose(rng, 20)} one of the most" for k in range(120)]
+    want = matches(items, texts, 8)
+    monkeypatch.setattr(decontamination, "_HITS", 7)
+    assert matches(items, texts, 8) == want and {(k, k % 40) for k in range(120)} <= {m[:2] for m in want}
+
+
+def test_a_phrase_shared_by_many_items_makes_no_cases(monkeypatch):
+    rng = random.Random(13)
+    items = [f"{prose(rng, 8)} is one of the most {prose(rng, 12)}" for _ in range(2000)]
+    texts = [" ".join(f"q{rng.randrange(10**6)}" for _ in range(60)) + " one of the most " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(60)) for _ in range(100)]
+    seen, plain = [], decontamination._worth
+    monkeypatch.setattr(decontamination, "_worth", lambda x, h, item, *v: seen.append(len(item)) or plain(x, h, item, *v))
+    assert matches(items, texts, 1 << 30) == [] and sum(seen) == 200_000
+    seen.clear()
+    assert matches(items, texts, decontamination.SHARED) == [] and sum(seen) == 0
+    assert {m[:2] for m in matches(items, [f"new {items[k]} new" for k in range(50)], decontamination.SHARED)} >= {(k, k) for k in range(50)}
+    assert np.all(np.diff(decontamination.Items([0], [items[0]], 0.5).seed.astype(float)) >= 0)
