@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.operators.common import distinct_listed
 from loomwork.operators.storage import saved
 
 
@@ -75,3 +76,32 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: Column) ->
     rest = [c for c in old.columns if c not in keys]
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, *rest)).alias("x"))
     return best.select(*keys, "x.*")
+
+
+def facing(relations: DataFrame) -> DataFrame:
+    """(concept, direction, type, other, doc_id): each relation(source, type, target, doc_id) from both of its ends."""
+    seen = lambda mine, way, other: relations.select(F.col(mine).alias("concept"), F.lit(way).alias("direction"), "type", F.col(other).alias("other"), "doc_id")
+    return seen("source", "out", "target").unionByName(seen("target", "in", "source"))
+
+
+def compare_concepts(pairs: DataFrame, relations: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(a, b, kind, name, relation, docs) of each different pair(a, b), over relations(source, type, target, doc_id) and mentions(concept, doc_id).
+
+    ``direct``: a relation of a with b, seen from a, and its documents; ``shared``: the number of documents that mention both; ``common``:
+    a concept related to both, with its relations to a and to b. A pair of a concept with itself, or with null, has no row, and what is not
+    there has none either; repeated pairs, relations and mentions count once. Pairs meet the rows of a first and those of b by
+    both keys, so a frequent concept costs no more than its own rows for each pair in which it is a.
+    """
+    p = pairs.where("a <> b").select("a", "b").distinct()
+    seen = facing(relations.distinct()).withColumn("way", F.concat_ws(":", "direction", "type"))
+    direct = p.join(seen, (F.col("a") == F.col("concept")) & (F.col("b") == F.col("other"))).groupBy("a", "b", "way").agg(F.count_distinct("doc_id").alias("docs"))
+    m = mentions.select("concept", "doc_id").distinct()
+    first, second = m.select(F.col("concept").alias("a"), "doc_id"), m.select(F.col("concept").alias("b"), "doc_id")
+    shared = p.join(first, "a").join(second, ["b", "doc_id"]).groupBy("a", "b").agg(F.count("*").alias("docs"))
+    near = seen.groupBy("concept", "other").agg(distinct_listed(F.col("way")).alias("how"))  # relation types are few
+    of_a, of_b = near.withColumnsRenamed({"concept": "a", "how": "how_a"}), near.withColumnsRenamed({"concept": "b", "how": "how_b"})
+    common = p.join(of_a, "a").where("other <> a AND other <> b").join(of_b, ["b", "other"])
+    nothing = F.lit(None).cast("string")
+    out = direct.select("a", "b", F.lit("direct").alias("kind"), F.col("b").alias("name"), F.col("way").alias("relation"), "docs")
+    out = out.unionByName(shared.select("a", "b", F.lit("shared").alias("kind"), nothing.alias("name"), nothing.alias("relation"), "docs"))
+    return out.unionByName(common.select("a", "b", F.lit("common").alias("kind"), F.col("other").alias("name"), F.concat_ws(" / ", "how_a", "how_b").alias("relation"), F.lit(None).cast("bigint").alias("docs")))

@@ -66,6 +66,21 @@ def q_concept_relations(t):
     return rows.withColumn("_p", place(["concept", "direction", "type"], F.desc("docs"), "other")).where("_p <= 3").drop("_p")
 
 
+@query(f"""WITH {_REL}, two AS MATERIALIZED (SELECT source AS a, 'out:' || type AS way, target AS b, doc_id FROM rel UNION ALL SELECT target, 'in:' || type, source, doc_id FROM rel),
+    pair AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, count(DISTINCT doc_id) AS docs FROM two WHERE a <> b GROUP BY a, b) QUALIFY row_number() OVER (PARTITION BY a ORDER BY docs DESC, b) = 1),
+    m AS MATERIALIZED (SELECT DISTINCT a AS c, doc_id FROM two), n AS MATERIALIZED (SELECT a AS c, b AS other, string_agg(DISTINCT way, ',' ORDER BY way) AS how FROM two GROUP BY a, b)
+    SELECT a, b, 'direct' AS kind, b AS name, way AS relation, count(DISTINCT doc_id) AS docs FROM pair JOIN two USING (a, b) GROUP BY a, b, way
+    UNION ALL SELECT p.a, p.b, 'shared', NULL, NULL, count(*) FROM pair p JOIN m x ON x.c = p.a JOIN m y ON y.c = p.b AND y.doc_id = x.doc_id GROUP BY p.a, p.b
+    UNION ALL SELECT p.a, p.b, 'common', x.other, x.how || ' / ' || y.how, NULL FROM pair p JOIN n x ON x.c = p.a JOIN n y ON y.c = p.b AND y.other = x.other WHERE x.other <> p.a AND x.other <> p.b""")
+def q_concept_compare(t):
+    """Each concept beside the one it is related to in most documents: their relations, shared documents and common concepts."""
+    r = relations(t)
+    seen = g.facing(r)
+    best = seen.where("concept <> other").groupBy("concept", "other").agg(F.count_distinct("doc_id").alias("docs"))
+    pairs = best.groupBy("concept").agg(F.min(F.struct((-F.col("docs")).alias("o"), "other")).alias("m")).select(F.col("concept").alias("a"), F.col("m.other").alias("b"))
+    return g.compare_concepts(pairs, r, seen.select("concept", "doc_id"))
+
+
 @query("WITH t0 AS (SELECT doc_id, unnest(topics) AS topic FROM document) SELECT count(*) AS docs, min(doc_id) AS first_doc FROM (SELECT doc_id FROM t0 WHERE topic = 'the' INTERSECT SELECT doc_id FROM t0 WHERE topic = 'and')")
 def graph_shared_docs(t):
     """Documents that name both of two topics."""
