@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -189,9 +190,17 @@ def connected_components(edges: DataFrame, salts: int = 8) -> DataFrame:
     """(node, component) for every node that has a link; component is the smallest node reachable.
 
     ``edges`` has two bigint columns a and b. Alternating large-star and small-star rounds; each round
-    is checkpointed, minima are pre-aggregated, and joins are salted, so a hub with many links is not
+    is written, minima are pre-aggregated, and joins are salted, so a hub with many links is not
     met by one task. No links or labels reach the driver, only a count and a checksum of each round.
+    A checkpoint keeps the size that was estimated for its plan, and that of a join is a product: over a dozen rounds planning would deal in numbers
+    of millions of digits. So rounds are files, of which Spark knows the size.
     """
+    spark = edges.sparkSession
+    folder = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
+
+    def kept(e: DataFrame, k: int) -> DataFrame:
+        e.write.parquet(f"{folder}/{k}")
+        return spark.read.schema("u bigint, v bigint").parquet(f"{folder}/{k}")
 
     def sign(e: DataFrame):
         return e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -200,7 +209,7 @@ def connected_components(edges: DataFrame, salts: int = 8) -> DataFrame:
         spread = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         return e.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(spread, ["u", "s"])
 
-    e = pinned(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e, k = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), 0), 0
     was = sign(e)
     while was[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -208,11 +217,14 @@ def connected_components(edges: DataFrame, salts: int = 8) -> DataFrame:
         large = to_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = to_least(large, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = pinned(small.union(least).distinct())
+        e, k = kept(small.union(least).distinct(), k + 1), k + 1
+        remove(spark, f"{folder}/{k - 1}")
         now = sign(e)
         if now == was:
             break
         was = now
+    e = pinned(e)
+    remove(spark, folder)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

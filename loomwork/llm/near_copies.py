@@ -1,7 +1,7 @@
 """Near copies: texts of which the sets of five-word shingles have a Jaccard index of 0.8 or more.
 
-SimHash fingerprints met through pivot tables link most of a group; all links are verified exactly, and a prefix filter finds those whose
-fingerprints lie farther apart (at 0.8 they differ in about ten of 64 bits)."""
+SimHash fingerprints met through pivot tables make the first groups, and what follows only looks for links between them; all links are verified
+exactly, and a prefix filter finds those whose fingerprints lie farther apart (at 0.8 they differ in about ten of 64 bits)."""
 
 from __future__ import annotations
 
@@ -20,6 +20,10 @@ from loomwork.llm.simhash_dedup import links as simhash_links
 SHINGLE = 5
 SAMPLE_ROWS = 10_000
 SKETCH_BITS = 512
+#: A wide sketch has at least twice as many bits as its set has shingles, up to this many.
+WIDE_BITS = 1 << 14
+#: Bits of the filter that tells which texts are read again.
+FILTER_BITS = 1 << 23
 _HEAVY = np.uint64(1 << 63)
 #: Shingles, counting each text as 64 more, that a chunk of texts holds on average: sets of about 2 MB, of about 4,096 texts at most.
 CHUNK_LOAD = 1 << 18
@@ -83,6 +87,27 @@ def set_sketches(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool).reshape(n, SKETCH_BITS), axis=1, bitorder="little").view(np.uint64)
 
 
+def wide_sketches(s: np.ndarray, bounds: np.ndarray) -> list[np.ndarray | None]:
+    """As set_sketches, with bits in proportion to the set (a power of two); None where SKETCH_BITS are enough. Bits are taken off the same
+    hash, so the larger of two sketches is folded to the size of the smaller."""
+    n = np.diff(bounds)
+    bits = np.minimum(1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), WIDE_BITS)
+    wide = bits > SKETCH_BITS
+    bits[~wide] = 0
+    ends = np.cumsum(bits)
+    own = s[np.repeat(wide, n)]
+    at = (mix((own & ~_HEAVY) ^ _HEAVY) & np.repeat(np.maximum(bits, 1) - 1, n * wide).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(np.repeat(ends - bits, n * wide) + at, minlength=int(bits.sum())) & 1
+    words = np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+    return [words[(b - m) // 64 : b // 64] if m else None for b, m in zip(ends.tolist(), bits.tolist(), strict=True)]
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two sketches differ, the larger folded to the size of the smaller."""
+    m = min(len(a), len(b))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(np.concatenate((a, b)).reshape(-1, m)).view(np.uint64)).sum())
+
+
 def heavy_shingles(docs: DataFrame, most: int = 100_000) -> np.ndarray:
     """Shingles that stand in five or more of about SAMPLE_ROWS rows. Any choice leaves the search complete; this one keeps buckets short."""
     each = max(1, docs.count() // SAMPLE_ROWS)
@@ -99,7 +124,7 @@ def heavy_shingles(docs: DataFrame, most: int = 100_000) -> np.ndarray:
     return np.sort(np.array([r["s"] for r in often.select("s").collect()], np.int64).view(np.uint64))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], column: str, most: int = 200_000) -> Iterator[pa.Table]:
+def _runs(batches: Iterator[pa.RecordBatch], column: str, most: int = 50_000) -> Iterator[pa.Table]:
     """Tables of whole groups of equal ``column`` from sorted batches."""
     held, rows = [], 0
     for batch in batches:
@@ -128,8 +153,8 @@ def _once(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
 
 
-def _pairs(t: pa.Table, least: float) -> pa.RecordBatch:
-    """Candidate pairs (a, b) of a table of whole groups, sorted by g and n."""
+def _pairs(t: pa.Table, least: float, most_held: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (a, b) of a table of whole groups, sorted by g and n; ``most_held`` of them, and one step's, are held at most."""
     g, key, n, i, label, side = (t[c].to_numpy() for c in ("g", "key", "n", "i", "label", "side"))
     begin = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))[: len(g)])
     size = np.diff(np.concatenate((begin, [len(g)])))
@@ -137,7 +162,12 @@ def _pairs(t: pa.Table, least: float) -> pa.RecordBatch:
     sketch = t["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64)
     most = (1 - least) / (1 + least)
     mixed = np.repeat(np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin), size) if len(g) else np.zeros(0, bool)
-    got, at, shift = [], np.flatnonzero(mixed), 1
+    got, held, at, shift = [], 0, np.flatnonzero(mixed), 1
+
+    def told() -> pa.RecordBatch:
+        both = _once(*(key[np.concatenate([p[k] for p in got])] if got else key[:0] for k in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
     while True:
         at = at[at + shift < end[at]]
         at = at[n[at] >= least * n[at + shift] - 1e-9]
@@ -152,9 +182,12 @@ def _pairs(t: pa.Table, least: float) -> pa.RecordBatch:
             p, q = x[low : low + (1 << 16)], y[low : low + (1 << 16)]
             ok = np.bitwise_count(sketch[p] ^ sketch[q]).sum(1) <= most * (n[p] + n[q]) + 1e-9
             got.append((p[ok], q[ok]))
+            held += int(ok.sum())
+            if held > most_held:
+                yield told()
+                got, held = [], 0
         shift += 1
-    both = _once(*(key[np.concatenate([p[k] for p in got])] if got else key[:0] for k in (0, 1)))
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+    yield told()
 
 
 def _met(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -199,8 +232,9 @@ def _met(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([none(k, pa.int64()), none(k, pa.int64()), pa.array(g, pa.int64()), pa.array(key[rows], pa.int64()), pa.array(n[rows], pa.int32()), pa.array(i[rows], pa.int32())], fields)
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """(t, z): the texts, compressed, by their hash; a text that a task has met before is left out."""
+def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(t, z): the texts, compressed, by their hash; a text that a task has met before is left out, and so are most of those whose hash is not
+    among the t of ``wanted``: a bitmap of fixed size tells them, so that they are neither sent to Python nor shuffled."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -218,33 +252,51 @@ def packed_texts(docs: DataFrame) -> DataFrame:
                 texts = batch.column(0).take(pa.array(at)).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([t[i] for i in at], pa.int64()), pa.array([pack((x or "").encode()) for x in texts], pa.binary())], ["t", "z"])
 
-    return docs.select("text", F.xxhash64("text").alias("t")).mapInArrow(each, "t bigint, z binary")
+    place = F.pmod(F.xxhash64("t", F.lit(9)), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(p & 63 as int))")
+    marks = wanted.select(place.alias("p")).groupBy(F.expr("p >> 6").alias("w")).agg(F.bit_or(bit).alias("marks"))
+    known = docs.select("text", F.xxhash64("text").alias("t")).withColumn("p", place).withColumn("w", F.expr("p >> 6"))
+    known = known.join(F.broadcast(marks), "w").where(F.col("marks").bitwiseAND(bit) != 0)  # at most FILTER_BITS / 64 rows
+    return known.select("text", "t").mapInArrow(each, "t bigint, z binary")
 
 
 def _by_sketch(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b), each once, whose parity sketches differ in no more bits than sets with an index of ``least`` may differ in shingles."""
-    side = lambda c: sketches.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    bits = F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    differ = F.aggregate(bits, F.lit(0), lambda x, y: x + y)
-    most = (1 - least) / (1 + least) * (F.col("n_a") + F.col("n_b")) + 1e-9
-    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(differ <= most).select("a", "b")
+    side = lambda c: sketches.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.coalesce("wide", "sketch").alias(f"sketch_{c}"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = (batch["n_a"].to_numpy() + batch["n_b"].to_numpy()).tolist()
+            at = [[batch[c].values.to_numpy(), batch[c].offsets.to_numpy().tolist()] for c in ("sketch_a", "sketch_b")]
+            most = (1 - least) / (1 + least)
+            ok = [_differ(*(v[o[i] : o[i + 1]] for v, o in at)) <= most * m + 1e-9 for i, m in enumerate(n)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    sized = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
+    return sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(near, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, least: float, load: int = CHUNK_LOAD) -> DataFrame:
-    """The pairs (a, b) whose sets have an index of ``least``. Texts are cut into chunks of about ``load`` shingles by the hash of their key; for each pair
-    of chunks a task holds the sets of the one, and those of the other, with the keys they are compared with, stream by one at a time."""
+    """The pairs (a, b) whose sets have an index of ``least``. Texts are cut into chunks of about ``load`` shingles, those with the same smallest
+    partner into one where they fit, so that a text is sent to few places; for each pair of chunks a task holds the sets of the one, and those of the
+    other, with the keys they are compared with, stream by one at a time."""
     pairs = pinned(pairs.distinct())
-    nodes = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    texts = pinned(rows.join(nodes, "key", "left_semi").groupBy("key").agg(F.min("t").alias("t"), F.min("n").alias("n")))
-    total = texts.agg(F.sum(F.col("n").cast("bigint") + 64)).first()[0] or 0
-    chunks = max(1, math.ceil(total / load))
-    part = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(chunks))
-    turned = part("a") > part("b")
+    turn = pairs.select(F.col("a").alias("key"), F.col("b").alias("m")).union(pairs.select("b", "a"))
+    nodes = turn.groupBy("key").agg(F.min("m").alias("m")).select("key", F.least("key", "m").alias("m"))
+    texts = pinned(rows.select("key", "t", "n").join(nodes, "key").groupBy("key").agg(F.min("t").alias("t"), F.min("n").alias("n"), F.min("m").alias("m")))
+    weight = F.sum(F.col("n").cast("bigint") + 64)
+    chunks = max(1, math.ceil((texts.agg(weight).first()[0] or 0) / load))
+    large = texts.groupBy("m").agg(weight.alias("w")).where(F.col("w") > load).select("m", F.ceil(F.col("w") / load).alias("cut"))
+    part = F.when(F.col("cut").isNull(), F.pmod(F.xxhash64("m", F.lit(3)), F.lit(chunks))).otherwise(F.xxhash64("m", F.pmod(F.xxhash64("key", F.lit(3)), "cut")))
+    parts_ = texts.join(large, "m", "left").select("key", part.alias("part"))
+    side = lambda c: parts_.select(F.col("key").alias(c), F.col("part").alias(f"part_{c}"))
+    turned = F.col("part_a") > F.col("part_b")
     ours, theirs = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))
-    tiled = pairs.select(ours.alias("held"), theirs.alias("key")).withColumn("tile", part("held") * chunks + part("key"))
+    tile = F.xxhash64(F.least("part_a", "part_b"), F.greatest("part_a", "part_b"))
+    tiled = pinned(pairs.join(side("a"), "a").join(side("b"), "b").select(ours.alias("held"), theirs.alias("key"), tile.alias("tile")))
     met = tiled.groupBy("tile", "key").agg(F.collect_list("held").alias("with"))  # keys of one chunk
     wanted = met.unionByName(tiled.select("tile", F.col("held").alias("key")).distinct().withColumn("with", F.lit(None).cast("array<bigint>")))
-    some = packed_texts(docs).dropDuplicates(["t"]).join(wanted.join(texts.select("key", "t"), "key"), "t")
+    some = packed_texts(docs, texts).dropDuplicates(["t"]).join(wanted.join(texts.select("key", "t"), "key"), "t")
     some = some.select("tile", "key", "with", "z").repartition("tile").sortWithinPartitions("tile", F.col("with").isNotNull(), "key")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,9 +332,16 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, least: float,
     return some.mapInArrow(check, "a bigint, b bigint")
 
 
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which the groups (key, label) differ; a key without a label is a group of its own."""
+    side = lambda c: label.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}"))
+    named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return named.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
 def copy_classes(docs: DataFrame, heavy: np.ndarray, least: float) -> DataFrame:
-    """(doc_id, t, key, n, fp, sketch, prefix) of each row: fp is the fingerprint of its set, sketch its parity sketch, prefix has the first shingles of its set, of which two sets with an index of ``least`` share one;
-    both are null where the same class has been met in the task."""
+    """(doc_id, t, key, n, fp, sketch, wide, prefix) of each row: fp is the fingerprint of its set, sketch its parity sketch, wide a larger one where the set needs it, prefix has the first shingles of its set, of which two sets with an index of ``least`` share one;
+    the last three are null where the same class has been met in the task."""
     held = docs.sparkSession.sparkContext.broadcast(heavy)  # bounded by heavy_shingles
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,27 +351,29 @@ def copy_classes(docs: DataFrame, heavy: np.ndarray, least: float) -> DataFrame:
             for low, high in parts(offsets, _PART):
                 s, bounds = shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], held.value)
                 keys, n, first, sketch = set_keys(s, bounds), np.diff(bounds), [], list(set_sketches(s, bounds).view(np.int64))
+                wide = wide_sketches(s, bounds)
                 for row, (k, m, at) in enumerate(zip(keys.tolist(), n.tolist(), bounds.tolist(), strict=False)):
-                    sketch[row] = None if k in met else sketch[row]
+                    if k in met:
+                        sketch[row] = wide[row] = None
                     first.append(None if k in met else s[at : at + m - math.ceil(least * m - 1e-9) + 1].view(np.int64))
                     met.add(k)
                 if len(met) > 1_000_000:
                     met.clear()
                 ids = batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low)
                 fp = set_fingerprints(s, bounds).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(keys), pa.array(n.astype(np.int32)), pa.array(fp), *(pa.array(x, pa.list_(pa.int64())) for x in (sketch, first))], ["doc_id", "t", "key", "n", "fp", "sketch", "prefix"])
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(keys), pa.array(n.astype(np.int32)), pa.array(fp), *(pa.array(x, pa.list_(pa.int64())) for x in (sketch, wide, first))], ["doc_id", "t", "key", "n", "fp", "sketch", "wide", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("t")).mapInArrow(each, "doc_id bigint, t bigint, key bigint, n int, fp bigint, sketch array<bigint>, prefix array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("t")).mapInArrow(each, "doc_id bigint, t bigint, key bigint, n int, fp bigint, sketch array<bigint>, wide array<bigint>, prefix array<bigint>")
 
 
 @short_lived
 def near_copy_groups(docs: DataFrame, least: float = 0.8, most: int = 4, tile: int = 8192) -> DataFrame:
     """(doc_id, t, key, group) for each row, t the hash of its text: rows linked by a Jaccard index of ``least`` or more, directly or over others, have the same group.
 
-    A first round verifies pairs whose fingerprints lie within ``most`` bits, found through pivot tables, and neighbours in each bucket of a common
-    shingle (buckets over ``tile`` rows are cut by a hash, each in its own way), so that large groups of like texts are one group before all other pairs of different groups are made. In both rounds pairs whose
-    parity sketches differ in more bits than sets of that index may differ in shingles are left out: no text need be read for them. Null and empty
-    texts are alike.
+    SimHash goes first: pairs whose fingerprints lie within ``most`` bits, found through pivot tables, make groups. Then neighbours in each bucket of
+    a common shingle (buckets over ``tile`` rows are cut by a hash, each in its own way) are met where their groups differ, so that large groups of like
+    texts are one group before all other pairs of different groups are made. In all three rounds pairs whose parity sketches differ in more bits than
+    sets of that index may differ in shingles are left out: no text need be read for them. Null and empty texts are alike.
     """
     heavy = heavy_shingles(docs)
     rows = pinned(copy_classes(docs, heavy, least))
@@ -330,21 +391,25 @@ def near_copy_groups(docs: DataFrame, least: float = 0.8, most: int = 4, tile: i
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "g"):
-            yield _pairs(t, least)
+            yield from _pairs(t, least)
 
     met = pinned(cut.repartition("s").sortWithinPartitions("s", "n", "key").mapInArrow(first, "a bigint, b bigint, g bigint, key bigint, n int, i int"))
     classes = pinned(rows.where("prefix is not null").groupBy("fp").agg(F.min("key").alias("id"), F.max("key").alias("other")))
     alike = simhash_links(classes.select("id", "fp"), most, tile=tile, direct=True).unionAll(classes.where("id <> other").select("id", "other"))
-    sketches = rows.where("sketch is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    near = _by_sketch(met.where("a is not null").select("a", "b").unionAll(alike), sketches, least)
-    links = pinned(_verified(near, rows, docs, least))
-    label = connected_components(links).withColumnsRenamed({"node": "key", "component": "label"})
+    sketches = rows.where("sketch is not null").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "wide")])
+    links, label = None, None
+    for pairs in (alike, met.where("a is not null").select("a", "b").distinct()):
+        if label is not None:
+            pairs = _apart(pairs, label)
+        found_ = _verified(_by_sketch(pairs, sketches, least), rows, docs, least)
+        links = pinned(found_ if links is None else links.union(found_))
+        label = connected_components(links).withColumnsRenamed({"node": "key", "component": "label"})
     named = met.where("g is not null").select("g", "key", "n", "i").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed = named.groupBy(F.col("g").alias("v")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("v")
     open_ = pinned(named.withColumnRenamed("g", "v").join(mixed, "v", "left_semi"))
     dealt = deal(open_, "v", "key", tile).join(sketches.select("key", "sketch"), "key")
     rest = dealt.select("g", "key", "n", "i", "label", "side", "sketch").repartition("g").sortWithinPartitions("g", "n", "key")
-    more = _verified(rest.mapInArrow(found, "a bigint, b bigint"), rows, docs, least)
+    more = _verified(_by_sketch(rest.mapInArrow(found, "a bigint, b bigint"), sketches, least), rows, docs, least)
     comp = connected_components(links.union(more))
     grouped = rows.select("doc_id", "t", "key").join(comp, F.col("key") == F.col("node"), "left")
     return grouped.select("doc_id", "t", "key", F.coalesce("component", "key").alias("group"))

@@ -106,3 +106,48 @@ def test_the_setting_of_the_session_is_put_back(spark):
     was = spark.conf.get(name)
     drop_near_copies(documents(spark, [(1, "one two three"), (2, "one two three")])).count()
     assert spark.conf.get(name) == was
+
+
+def test_long_texts_of_a_lower_index_are_left_out_unread(spark):
+    rng = np.random.default_rng(3)
+    pool = rng.integers(1, 1 << 63, 40_000, dtype=np.uint64)
+    sets = [np.sort(pool[k : k + 6000]) for k in (0, 200, 1500, 3000, 20_000)] + [np.sort(pool[100 : 100 + 5000]), np.sort(pool[:120])]
+    s, bounds = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    narrow, wide = near_copies.set_sketches(s, bounds).view(np.int64), near_copies.wide_sketches(s, bounds)
+    assert wide[-1] is None and all(len(x) * 64 >= 2 * 5000 for x in wide[:-1])
+    rows = [(k, len(x), narrow[k].tolist(), None if wide[k] is None else wide[k].tolist()) for k, x in enumerate(sets)]
+    sketches = spark.createDataFrame(rows, "key bigint, n int, sketch array<bigint>, wide array<bigint>")
+    every = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))]
+    index = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i, j in every}
+    got = {(r["a"], r["b"]) for r in near_copies._by_sketch(spark.createDataFrame(every, "a bigint, b bigint"), sketches, 0.8).collect()}
+    assert {p for p in every if index[p] >= 0.8} <= got and not any(index[p] < 0.7 for p in got)
+    assert all(near_copies._differ(wide[i], narrow[j].copy()) == np.bitwise_count((narrow[i] ^ narrow[j]).view(np.uint64)).sum() for i, j in every if j < 6)
+
+
+def test_what_simhash_links_is_not_compared_again(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(800)]
+    texts = [(k, " ".join(base[:400] + [f"x{k}"] + base[400:])) for k in range(12)] + [(50 + k, " ".join(base[: 640 + 5 * k])) for k in range(4)]
+    asked, real = [], near_copies._verified
+
+    def seen(pairs, *args):
+        found = real(pairs, *args)
+        asked.append(([tuple(r) for r in pairs.collect()], [tuple(r) for r in found.collect()]))
+        return found
+
+    monkeypatch.setattr(near_copies, "_verified", seen)
+    groups = {r["group"] for r in near_copy_groups(documents(spark, texts)).collect()}
+    linked = asked[0][1]
+    comp = plain_components(sorted({x for p in linked for x in p}), linked)
+    assert len(groups) == 1 and len(linked) >= 11 and len(asked) == 3
+    assert not any(comp.get(a, a) == comp.get(b, b) for pairs, _ in asked[1:] for a, b in pairs)
+
+
+def test_estimated_sizes_dont_grow_with_rounds(spark):
+    from loomwork.llm.common import connected_components
+
+    chain = spark.range(40).selectExpr("id as a", "id + 1 as b")
+    once = connected_components(chain)
+    twice = connected_components(once.selectExpr("node as a", "component as b").where("a <> b"))
+    assert {r["component"] for r in twice.collect()} == {0} and twice.count() == 41
+    assert twice._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
