@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from loomwork.llm.common import parts, texts_buffer
 
@@ -18,9 +19,13 @@ from loomwork.llm.common import parts, texts_buffer
 CACHE_PIECES = 300_000
 _TOGETHER = 500
 
-_ODD_SPACE = re.compile(r"[ \n]\s|\s[ \n]")
+#: White space as Python's \s has it, written out.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD_SPACE = rf"[ \n]{_SPACE}|{_SPACE}[ \n]|\x00"
+_ODD = re.compile(r"[ \n]\s|\s[ \n]|\0")
 _SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_STOPS = ".,;:!?)\"|*#$%"
+#: ASCII marks but the apostrophe, which may belong to the letter after it.
+_STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def plain(word: str) -> bool:
@@ -28,6 +33,12 @@ def plain(word: str) -> bool:
     return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
+def ends_apart(word: str) -> bool:
+    """Whether marks after the word are no part of it: it ends in an ASCII letter or digit, or in a Latin letter that stays one letter."""
+    last = word[-1:]
+    return last.isalnum() if last.isascii() else last < "\u0250" and plain(last)
+
+
 class Encoder:
     """Ids of texts whose pieces, cut at spaces and line ends, can be encoded apart.
 
@@ -50,10 +61,20 @@ class Encoder:
     def cut(self, text: str) -> list[str]:
         if not self.lead:  # white space and case are dropped anyway
             return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\n", " ").split(" ")
-        if "\0" in text or _ODD_SPACE.search(text):
+        if _ODD.search(text):
             return _SAFE_CUT.split(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
+    def cuts(self, texts: pa.Array) -> pa.Array:
+        """``cut`` of many texts at once, as lists."""
+        if not self.lead:
+            return pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
+        pieces = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n"), "\0")
+        rare = pc.match_substring_regex(texts, _ODD_SPACE)
+        if not pc.any(rare).as_py():
+            return pieces
+        return pc.if_else(rare, pa.array([self.cut(t) if r else [] for t, r in zip(texts.to_pylist(), rare.to_pylist(), strict=True)], pieces.type), pieces)
+
     def odd(self, text: str) -> bool:
         """Whether the string of an added token may stand in the text: the library reads that as the token, so such a text is encoded whole."""
         if not self.special or self.mark[:1] not in text or self.mark not in (low := text.lower()):
@@ -73,7 +94,7 @@ class Encoder:
             return map(self.one, some)
         return (ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True))
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: Iterable[str]) -> None:
         """Put all of ``pieces`` into the cache."""
         if len(self.new) > CACHE_PIECES:
             self.old, self.new = self.new, {}
@@ -88,7 +109,7 @@ class Encoder:
                 alone.append(p)
             else:
                 body = p.rstrip(_STOPS)  # a word and the marks after it are tokens of their own
-                if body != p and body[-1:].isascii() and body[-1:].isalnum():
+                if body != p and ends_apart(body):
                     marked.append((p, body, p[len(body) :]))
                     whole.update((body, p[len(body) :]))
                 else:
@@ -105,13 +126,18 @@ class Encoder:
             new[p] = new[body] + new[marks]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [[] if self.odd(t) else self.cut(t) for t in texts]
-        pieces: set[str] = set()
-        for c in cut:
-            pieces.update(c)
-        self.learn(pieces)
-        found = self.new.__getitem__
-        return [b"".join(map(found, c)) if c else self.one(t) for t, c in zip(texts, cut, strict=True)]
+        odd = [self.odd(t) for t in texts]
+        cut = self.cuts(pa.array(["" if o else t for t, o in zip(texts, odd, strict=True)], pa.large_string()))
+        pieces = cut.flatten().dictionary_encode()
+        some, at = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        self.learn(some)
+        found = list(map(self.new.__getitem__, some))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        each = size[at]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat((np.cumsum(size) - size)[at] - ends[:-1], each) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy())))].tolist()
+        return [self.one(t) if o else ids[a:b].tobytes() for t, o, a, b in zip(texts, odd, bounds[:-1], bounds[1:], strict=True)]
 
 
 @lru_cache(maxsize=4)

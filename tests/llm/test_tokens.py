@@ -141,3 +141,15 @@ def test_orc_digest_of_no_rows(spark, tmp_path):
     docs = documents(spark, hard_texts())
     write_tokens(docs.limit(0), BYTE, str(tmp_path / "none"))
     assert token_digest(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_marks_after_words_cost_no_call_each(monkeypatch):
+    from loomwork.llm import tokens
+
+    letters = "abcdefghijklmnop"
+    text = " ".join(f"{'qz' if k % 2 else 'ñ'}{''.join(letters[int(d)] for d in str(k))}{'é' if k % 3 else ''}{['&&&', '.', '_/', '@'][k % 4]}" for k in range(600))
+    for path, lead, plain in ((WORD, "", PLAIN_WORD), (BYTE, " ", PLAIN_BYTE)):
+        e, calls = tokens.Encoder(path, lead), []
+        monkeypatch.setattr(e, "one", lambda p, e=e, calls=calls: calls.append(p) or tokens.Encoder.one(e, p))
+        assert np.frombuffer(e.ids([text])[0], "<u4").tolist() == plain(text)
+        assert len(calls) < 20
