@@ -22,6 +22,10 @@ SAMPLE_ROWS = 10_000
 SKETCH_BITS = 512
 #: A wide sketch has at least twice as many bits as its set has shingles, up to this many.
 WIDE_BITS = 1 << 14
+#: A sketch by which pairs of a bucket are told has at least so many bits for each shingle, and WIDE_BITS at most.
+SKETCH_SHARE = 0.6
+#: Buckets before its own that a row of a bucket knows: a pair that shares one of them is left to that one.
+BEFORE = 8
 #: Bits of the filter that tells which texts are read again.
 FILTER_BITS = 1 << 23
 _HEAVY = np.uint64(1 << 63)
@@ -102,6 +106,12 @@ def wide_sketches(s: np.ndarray, bounds: np.ndarray) -> list[np.ndarray | None]:
     return [words[(b - m) // 64 : b // 64] if m else None for b, m in zip(ends.tolist(), bits.tolist(), strict=True)]
 
 
+def bucket_sketches(n: np.ndarray, narrow: np.ndarray, wide: list[np.ndarray | None]) -> list[np.ndarray]:
+    """Of each set its row of ``narrow``, or its wide sketch folded to SKETCH_SHARE bits for each of its n shingles (a power of two) where that is more."""
+    words = np.exp2(np.ceil(np.log2(np.maximum(SKETCH_SHARE * n, SKETCH_BITS)))).astype(np.int64) // 64
+    return [row if w is None or m * 64 == SKETCH_BITS else np.bitwise_xor.reduce(w.reshape(-1, min(m, len(w)))) for row, w, m in zip(narrow, wide, words.tolist(), strict=True)]
+
+
 def _differ(a: np.ndarray, b: np.ndarray) -> int:
     """Bits in which two sketches differ, the larger folded to the size of the smaller."""
     m = min(len(a), len(b))
@@ -124,7 +134,7 @@ def heavy_shingles(docs: DataFrame, most: int = 100_000) -> np.ndarray:
     return np.sort(np.array([r["s"] for r in often.select("s").collect()], np.int64).view(np.uint64))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], column: str, most: int = 50_000) -> Iterator[pa.Table]:
+def _runs(batches: Iterator[pa.RecordBatch], column: str, most: int = 20_000) -> Iterator[pa.Table]:
     """Tables of whole groups of equal ``column`` from sorted batches."""
     held, rows = [], 0
     for batch in batches:
@@ -153,13 +163,52 @@ def _once(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
 
 
+class _Sketches:
+    """Sketches of the rows of a table, lists of 64-bit words whose number is a power of two."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        lists = column.combine_chunks()
+        self.flat, offsets = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        self.first, self.words = (offsets[:-1] - offsets[0]).astype(np.int64), np.diff(offsets).astype(np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each row, sketches folded to ``words``) of the rows that have as many."""
+        if words not in self.folded:
+            place, rows = np.cumsum(self.words >= words) - 1, np.empty((int((self.words >= words).sum()), words), np.uint64)
+            for w in np.unique(self.words[self.words >= words]).tolist():
+                own = np.flatnonzero(self.words == w)
+                for low in range(0, len(own), 4096):
+                    some = own[low : low + 4096]
+                    rows[place[some]] = np.bitwise_xor.reduce(self.flat[self.first[some][:, None] + np.arange(w)].reshape(len(some), -1, words), axis=1)
+            self.folded[words] = place, rows
+        return self.folded[words]
+
+    def near(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether rows x and y differ in no more than ``most`` bits, the larger sketch folded to the size of the smaller."""
+        words, ok = np.minimum(self.words[x], self.words[y]), np.zeros(len(x), bool)
+        for w in np.unique(words).tolist():
+            own = np.flatnonzero(words == w)
+            for low in range(0, len(own), step := max(1, (1 << 19) // w)):
+                some = own[low : low + step]
+                place, rows = self.of(w)
+                ok[some] = np.bitwise_count(rows[place[x[some]]] ^ rows[place[y[some]]]).sum(1) <= most[some]
+        return ok
+
+
 def _pairs(t: pa.Table, least: float, most_held: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b) of a table of whole groups, sorted by g and n; ``most_held`` of them, and one step's, are held at most."""
+    """Candidate pairs (a, b) of a table of whole groups, sorted by g and n; ``most_held`` of them, and one step's, are held at most. A pair that also
+    meets in a bucket that both rows have in ``before`` is told there: what is asked of a pair here holds in each of its buckets if its index is ``least``."""
     g, key, n, i, label, side = (t[c].to_numpy() for c in ("g", "key", "n", "i", "label", "side"))
     begin = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))[: len(g)])
     size = np.diff(np.concatenate((begin, [len(g)])))
     end = np.repeat(begin + size, size)
-    sketch = t["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64)
+    sketch = _Sketches(t["sketch"])
+    lists = t["before"].combine_chunks()
+    known = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    real = np.arange(BEFORE) < known[:, None]
+    before = np.zeros((len(g), BEFORE), np.int64)
+    before[real] = lists.flatten().to_numpy()
     most = (1 - least) / (1 + least)
     mixed = np.repeat(np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin), size) if len(g) else np.zeros(0, bool)
     got, held, at, shift = [], 0, np.flatnonzero(mixed), 1
@@ -168,6 +217,12 @@ def _pairs(t: pa.Table, least: float, most_held: int = 500_000) -> Iterator[pa.R
         both = _once(*(key[np.concatenate([p[k] for p in got])] if got else key[:0] for k in (0, 1)))
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
+    def elsewhere(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        met = np.zeros(len(x), bool)
+        for k in range(BEFORE):
+            met |= ((before[x, k][:, None] == before[y]) & real[y]).any(1) & real[x, k]
+        return met
+
     while True:
         at = at[at + shift < end[at]]
         at = at[n[at] >= least * n[at + shift] - 1e-9]
@@ -180,7 +235,9 @@ def _pairs(t: pa.Table, least: float, most_held: int = 500_000) -> Iterator[pa.R
         x, y = x[ok], y[ok]
         for low in range(0, len(x), 1 << 16):
             p, q = x[low : low + (1 << 16)], y[low : low + (1 << 16)]
-            ok = np.bitwise_count(sketch[p] ^ sketch[q]).sum(1) <= most * (n[p] + n[q]) + 1e-9
+            ok = ~elsewhere(p, q)
+            p, q = p[ok], q[ok]
+            ok = sketch.near(p, q, most * (n[p] + n[q]) + 1e-9)
             got.append((p[ok], q[ok]))
             held += int(ok.sum())
             if held > most_held:
@@ -350,8 +407,8 @@ def copy_classes(docs: DataFrame, heavy: np.ndarray, least: float) -> DataFrame:
             data, offsets = texts_buffer(batch.column(1))
             for low, high in parts(offsets, _PART):
                 s, bounds = shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], held.value)
-                keys, n, first, sketch = set_keys(s, bounds), np.diff(bounds), [], list(set_sketches(s, bounds).view(np.int64))
-                wide = wide_sketches(s, bounds)
+                keys, n, first, wide = set_keys(s, bounds), np.diff(bounds), [], wide_sketches(s, bounds)
+                sketch = bucket_sketches(n, set_sketches(s, bounds).view(np.int64), wide)
                 for row, (k, m, at) in enumerate(zip(keys.tolist(), n.tolist(), bounds.tolist(), strict=False)):
                     if k in met:
                         sketch[row] = wide[row] = None
@@ -405,10 +462,12 @@ def near_copy_groups(docs: DataFrame, least: float = 0.8, most: int = 4, tile: i
         links = pinned(found_ if links is None else links.union(found_))
         label = connected_components(links).withColumnsRenamed({"node": "key", "component": "label"})
     named = met.where("g is not null").select("g", "key", "n", "i").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = named.groupBy(F.col("g").alias("v")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("v")
-    open_ = pinned(named.withColumnRenamed("g", "v").join(mixed, "v", "left_semi"))
+    mixed = named.groupBy(F.col("g").alias("v")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high")
+    mixed = mixed.join(F.broadcast(hot.withColumnRenamed("g", "v")), "v", "left").where("size > 3 or cut is not null").select("v")  # up to three rows of a bucket that isn't cut have all met
+    last = Window.partitionBy("key").orderBy("i").rowsBetween(-BEFORE, -1)
+    open_ = pinned(named.withColumnRenamed("g", "v").join(mixed, "v", "left_semi").withColumn("before", F.collect_list("v").over(last)))
     dealt = deal(open_, "v", "key", tile).join(sketches.select("key", "sketch"), "key")
-    rest = dealt.select("g", "key", "n", "i", "label", "side", "sketch").repartition("g").sortWithinPartitions("g", "n", "key")
+    rest = dealt.select("g", "key", "n", "i", "label", "side", "before", "sketch").repartition("g").sortWithinPartitions("g", "n", "key")
     more = _verified(_by_sketch(rest.mapInArrow(found, "a bigint, b bigint"), sketches, least), rows, docs, least)
     comp = connected_components(links.union(more))
     grouped = rows.select("doc_id", "t", "key").join(comp, F.col("key") == F.col("node"), "left")

@@ -151,3 +151,42 @@ def test_estimated_sizes_dont_grow_with_rounds(spark):
     twice = connected_components(once.selectExpr("node as a", "component as b").where("a <> b"))
     assert {r["component"] for r in twice.collect()} == {0} and twice.count() == 41
     assert twice._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
+
+
+def test_a_pair_is_told_once_however_many_buckets_it_shares(spark, monkeypatch):
+    rng = random.Random(8)
+    base, texts = [f"w{rng.randint(0, 9999)}" for _ in range(300)], []
+    for k in range(40):
+        own = list(base)
+        for j in range(4):
+            own[rng.randrange(300)] = f"x{k}y{j}"
+        texts.append((k, " ".join(own)))
+    asked, real = [], near_copies._by_sketch
+
+    def seen(pairs, *args):
+        asked.append([tuple(r) for r in pairs.collect()])
+        return real(pairs, *args)
+
+    monkeypatch.setattr(near_copies, "_by_sketch", seen)
+    got = {r["doc_id"]: r["group"] for r in near_copy_groups(documents(spark, texts)).collect()}
+    assert len(asked[2]) > 50 and len(asked[2]) == len(set(asked[2]))
+    sets = {k: {tuple(w[p : p + 5]) for p in range(296)} for k, t in texts for w in [t.split()]}
+    linked = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    comp = plain_components(sorted(sets), linked)
+    assert all((got[a] == got[b]) == (comp[a] == comp[b]) for a in sets for b in sets)
+
+
+def test_long_texts_that_share_a_line_are_no_pair_of_its_bucket():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    pool = rng.integers(1, 1 << 63, 40_000, dtype=np.uint64)
+    sets = [np.sort(pool[k : k + n]) for k, n in ((0, 3000), (1500, 3000), (10_000, 3000), (10_100, 3000), (20_000, 1500), (10_050, 2700))]
+    s, bounds = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    n = np.diff(bounds)
+    some = near_copies.bucket_sketches(n, near_copies.set_sketches(s, bounds).view(np.int64), near_copies.wide_sketches(s, bounds))
+    order = np.argsort(n, kind="stable")
+    rows = [{"g": 7, "key": int(k), "n": int(n[k]), "i": 3, "label": int(k), "side": 0, "before": [5] if k in (2, 5) else [], "sketch": some[k].tolist()} for k in order]
+    kinds = pa.schema([("g", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("i", pa.int32()), ("label", pa.int64()), ("side", pa.int8()), ("before", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    told = [(r["a"], r["b"]) for b in near_copies._pairs(pa.Table.from_pylist(rows, kinds), 0.8) for r in b.to_pylist()]
+    assert sorted(told) == [(2, 3), (3, 5)]  # 2 and 5 have met in bucket 5
