@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from array import array
@@ -47,6 +48,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, lead: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
@@ -87,7 +89,7 @@ class Encoder:
     def words(self, some: list[str]) -> Iterator[bytes]:
         """Ids of each of ``some`` words of letters, encoded in one go."""
         joined = "".join(some) if self.lead else " ".join(some)
-        ids = np.array(self.t.encode(joined, add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.t.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         at = np.flatnonzero(self.edge[ids])
         starts, ends = (at, [*at[1:], len(ids)]) if self.lead else ([0, *(at[:-1] + 1)], at + 1)
         if len(at) != len(some):  # letters that are none to the tokenizer
@@ -105,13 +107,14 @@ class Encoder:
                 continue
             if p in old:
                 new[p] = old[p]
-            elif plain(p[k:]) and p.startswith(self.lead):
+            elif (w := p[k:]).isalpha() and (w.isascii() or plain(w)) and p.startswith(self.lead):
                 alone.append(p)
             else:
                 body = p.rstrip(_STOPS)  # a word and the marks after it are tokens of their own
                 if body != p and ends_apart(body):
-                    marked.append((p, body, p[len(body) :]))
-                    whole.update((body, p[len(body) :]))
+                    marks = p[len(body) :]
+                    marked.append((p, body, marks))
+                    whole.add(body), whole.add(marks)
                 else:
                     whole.add(p)
         words = {p for p in whole if p not in new and plain(p[k:]) and p.startswith(self.lead)}
@@ -129,13 +132,10 @@ class Encoder:
         odd = [self.odd(t) for t in texts]
         cut = self.cuts(pa.array(["" if o else t for t, o in zip(texts, odd, strict=True)], pa.large_string()))
         pieces = cut.flatten().dictionary_encode()
-        some, at = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        some = pieces.dictionary.to_pylist()
         self.learn(some)
-        found = list(map(self.new.__getitem__, some))
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        each = size[at]
-        ends = np.concatenate(([0], np.cumsum(each)))
-        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat((np.cumsum(size) - size)[at] - ends[:-1], each) + np.arange(ends[-1])]
+        found = pa.array(map(self.new.__getitem__, some), pa.large_binary(), size=len(some)).take(pieces.indices)
+        ends, ids = np.frombuffer(found.buffers()[1], np.int64), memoryview(found.buffers()[2] or b"")
         bounds = ends[np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy())))].tolist()
         return [self.one(t) if o else ids[a:b].tobytes() for t, o, a, b in zip(texts, odd, bounds[:-1], bounds[1:], strict=True)]
 

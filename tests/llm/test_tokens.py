@@ -153,3 +153,17 @@ def test_marks_after_words_cost_no_call_each(monkeypatch):
         monkeypatch.setattr(e, "one", lambda p, e=e, calls=calls: calls.append(p) or tokens.Encoder.one(e, p))
         assert np.frombuffer(e.ids([text])[0], "<u4").tolist() == plain(text)
         assert len(calls) < 20
+
+
+def test_ids_are_gathered_without_an_index_for_each(monkeypatch):
+    """Pieces of no ids, of many, and texts without any keep their places."""
+    from loomwork.llm import tokens
+    from loomwork.llm.queries import tokenizer_path
+
+    texts = ["", "one two  two", "\n", "ein <|endoftext|> zwei", "a" * 500 + " é è", "one", ""] * 30
+    for name, lead in (("byte_bpe_50k.json", " "), ("word_bpe_49k.json", "")):
+        e = tokens.Encoder(tokenizer_path(name), lead)
+        monkeypatch.setattr(tokens.np, "repeat", None)
+        got = e.ids(texts)
+        monkeypatch.undo()
+        assert got == [e.one(t) for t in texts]
