@@ -18,11 +18,11 @@ from loomwork.llm.common import mix, parts, pinned, shared_dir, texts_buffer
 from loomwork.llm.tokens import Encoder
 
 #: Bytes of text of a block of documents, and of those that are encoded at once.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _ENCODED = 1 << 19
 SALTS = 8
-#: Stretches of text of which a worker remembers B's ids, in each of two generations.
-CACHE_STRETCHES = 250_000
+#: Stretches of text of which a worker remembers A's and B's ids, in each of two generations. Both caches are held at once, by two workers of an executor.
+CACHE_STRETCHES = 100_000
 
 
 class Tokenizers:
@@ -31,7 +31,7 @@ class Tokenizers:
     def __init__(self, a: str, b: str):
         import sentencepiece
 
-        self.a = Encoder(a, " ")
+        self.a = Encoder(a, " ", CACHE_STRETCHES)
         self.a.t.encode_special_tokens, self.a.special = True, []  # their strings are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level pieces show these bytes as they are, the others from 256 on

@@ -47,14 +47,14 @@ class Encoder:
     tokenizer too, and the ids at which words end (or begin) are known from the vocabulary.
     """
 
-    def __init__(self, path: str, lead: str):
+    def __init__(self, path: str, lead: str, most: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
         self.special = [x.content.lower() for x in self.t.get_added_tokens_decoder().values()]
         self.mark = commonprefix(self.special)
-        self.lead, self.new, self.old = lead, {}, {}
+        self.lead, self.most, self.new, self.old = lead, most, {}, {}
         edge = np.zeros(self.t.get_vocab_size() + 1, bool)
         for token, i in self.t.get_vocab().items():
             edge[i] = token.startswith("Ġ") if lead else token.endswith("</w>")
@@ -98,7 +98,7 @@ class Encoder:
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Put all of ``pieces`` into the cache."""
-        if len(self.new) > CACHE_PIECES:
+        if len(self.new) > self.most:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
         k, alone, whole, marked = len(self.lead), [], set(), []

@@ -98,3 +98,15 @@ def test_links_of_groups_and_keys(both):
         assert group_of(key_of(group)) == group
     many = ((5,) * 70_000, (7, 8))
     assert group_of(key_of(many)) == many
+
+
+def test_both_caches_together_stay_small():
+    from loomwork.llm import alignment
+    from loomwork.llm.queries import tokenizer_path
+
+    t = alignment.Tokenizers(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    for k in range(12):
+        t.ids([" ".join(f"{k * 40_000 + j:x}" for j in range(40_000))])
+    assert max(len(c) for c in (t.a.new, t.a.old, t.new, t.old)) <= 150_000
+    text = "the 1f 2e"
+    assert [x.tobytes() for x in t.ids([text])[0]] == [x for x in t.whole(text)]
