@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import mix, parts, pinned, shared_dir, texts_buffer
-from loomwork.llm.tokens import Encoder
+from loomwork.llm.tokens import Encoder, apart, strings
 
 #: Bytes of text of a block of documents, and of those that are encoded at once.
 BLOCK_BYTES = 1 << 20
@@ -80,13 +80,17 @@ class Tokenizers:
 
     def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its A ids of space+text and its B ids; none where it is empty or the joined bytes of A or B differ from space+text."""
-        cut = [self.a.cut(" " + t) if t and self.cuts and self.a_whole else [] for t in texts]
+        some = pa.array([" " + t if t and self.cuts and self.a_whole else "" for t in texts], pa.large_string())
+        cut, starts = self.a.cuts(some)
+        cut, starts = strings(cut), starts.tolist()
+        cut = [cut[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
         pieces: set[str] = set()
         for c in cut:
             pieces.update(c)
-        self.a.learn(pieces)
         self.learn(pieces)
-        a, b, out = self.a.new.__getitem__, self.new.__getitem__, []
+        own = list(pieces)
+        a = dict(zip(own, self.a.memory.rows(*apart(pa.array(own, pa.large_string()))).to_pylist(), strict=True)).__getitem__
+        b, out = self.new.__getitem__, []
         for text, c in zip(texts, cut, strict=True):
             y = list(map(b, c))
             if not text:

@@ -48,7 +48,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, slack: float = 0.08)
         for batch in batches:
             for low, texts in batches_of(batch.column(1)):
                 rows = []
-                for doc, found in zip(batch.column(0).slice(low, len(texts)).to_pylist(), word_ids(path, texts), strict=True):
+                for doc, found in zip(batch.column(0).slice(low, len(texts)).to_pylist(), word_ids(path, texts.to_pylist()), strict=True):
                     ids = memoryview(found + END_ID.to_bytes(4, "little"))
                     at, n = 0, len(ids) // 4
                     for size in cuts(n, capacity, slack):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import shared_dir
-from loomwork.llm.tokens import batches_of, byte_ids
+from loomwork.llm.tokens import batches_of, flat_byte_ids
 
 END_ID = 2
 
@@ -29,18 +29,18 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, stripe_bytes: int =
         part, at = TaskContext.get().partitionId(), 0
         names = ["doc_id", "part", "part_start", "n", "ids"]
 
-        def made(keys, starts, chunks):
-            sizes = np.fromiter(map(len, chunks), np.int64, len(chunks)) // 4
-            values = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(chunks))])
-            ids = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), values)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([part] * len(keys), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), ids], names)
-
         for batch in batches:
             for low, texts in batches_of(batch.column(1)):
-                chunks = [ids + END_ID.to_bytes(4, "little") for ids in byte_ids(tokenizer, texts)]
-                starts = np.cumsum([at, *(len(c) // 4 for c in chunks)])
-                at = int(starts[-1])
-                yield made(batch.column(0).slice(low, len(texts)).to_pylist(), starts[:-1], chunks)
+                found, bounds = flat_byte_ids(tokenizer, texts)
+                ends = bounds + np.arange(len(bounds))  # with an END_ID after each text
+                ids = np.empty(ends[-1], np.int32)
+                last = np.zeros(len(ids), bool)
+                last[ends[1:] - 1] = True
+                ids[last], ids[~last] = END_ID, found
+                m = len(texts)
+                columns = [batch.column(0).slice(low, m), pa.array([part] * m, pa.int32()), pa.array(at + ends[:-1]), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     ordered = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")

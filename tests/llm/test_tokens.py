@@ -167,3 +167,38 @@ def test_ids_are_gathered_without_an_index_for_each(monkeypatch):
         got = e.ids(texts)
         monkeypatch.undo()
         assert got == [e.one(t) for t in texts]
+
+
+def test_words_with_and_without_marks_are_one_entry_and_new_words_need_no_call_each(monkeypatch):
+    """A word of Latin letters is encoded once, however it begins or ends, and by the tokenizer's model for byte-level ids."""
+    from loomwork.llm import tokens
+
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}é" for k in range(400)]
+    text = " ".join(f"{w} {w}. {w}, {w}!!" for w in words) + "\n" + "\n".join(words)
+    e, calls = tokens.Encoder(BYTE, " "), []
+    monkeypatch.setattr(e, "one", lambda p: calls.append(p) or tokens.Encoder.one(e, p))
+    assert np.frombuffer(e.ids([text])[0], "<u4").tolist() == PLAIN_BYTE(text)
+    assert len(calls) < 10 and len(e.new) < 2 * len(words) + 10
+
+
+def test_flat_ids_of_a_column(spark):
+    """Nulls, empty texts, special tokens and odd white space between others, in one array."""
+    import pyarrow as pa
+
+    from loomwork.llm.tokens import flat_byte_ids
+
+    texts = [None, "", "one  two\n\n three", " lead", "a <|endoftext|> b", "x\0y z", "", "İx. 一一 Привет, мир. é.", "\n", "end ", None]
+    for column in (pa.array(texts), pa.array(["cut off", *texts], pa.large_string()).slice(1), pa.array([], pa.string())):
+        ids, bounds = flat_byte_ids(BYTE, column)
+        got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert got == [PLAIN_BYTE(t) for t in texts][: len(column)]
+
+
+def test_pieces_in_use_move_to_the_next_generation():
+    from loomwork.llm import tokens
+
+    e = tokens.Encoder(BYTE, " ", 200)
+    for k in range(6):
+        text = "always here. " + " ".join(f"x{k * 150 + j}" for j in range(150))
+        assert np.frombuffer(e.ids([text])[0], "<u4").tolist() == PLAIN_BYTE(text)
+    assert max(len(e.new), len(e.old)) < 400 and " here" in e.new.at
