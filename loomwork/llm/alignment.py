@@ -5,25 +5,30 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import mix, parts, pinned, shared_dir, texts_buffer
-from loomwork.llm.tokens import Encoder, apart, strings
+from loomwork.llm.tokens import WORD_AND_MARK, Encoder, Memory, Pool, apart, flat, replaced
 
 #: Bytes of text of a block of documents, and of those that are encoded at once.
 BLOCK_BYTES = 1 << 20
-_ENCODED = 1 << 19
+_ENCODED = 4 << 20
 SALTS = 8
 #: Stretches of text of which a worker remembers A's and B's ids, in each of two generations. Both caches are held at once, by two workers of an executor.
 CACHE_STRETCHES = 100_000
 
+#: Stands for the B ids of a stretch that aren't those of the stretch alone.
+NONE = 0xFFFFFFFF
+
 
 class Tokenizers:
     """Ids and bytes of tokens of both tokenizers. A is byte-level BPE, B sentencepiece with byte fallback."""
@@ -46,29 +51,48 @@ class Tokenizers:
         self.a_whole = self.a.t.normalizer is None and {bytes([k]) for k in range(256)} <= set(self.a_bytes)
         self.a_length, self.b_length = (np.array(list(map(len, x)), np.int32) for x in (self.a_bytes, self.b_bytes))
 
-        #: B ids of stretches as bytes; null where they aren't those of the stretch alone. No piece reaches over a space into the word before it or holds a line end, so cuts before either separate pieces.
-        pieces = [piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_byte(i)]
-        self.cuts = not any("\n" in p or "▁" in p.lstrip("▁") for p in pieces)
-        self.new: dict[str, bytes | None] = {"": b""}
-        self.old: dict[str, bytes | None] = {}
+        #: No piece of B reaches over a space into the word before it or holds a line end, so cuts before either separate pieces; nor does one reach from a word into the marks after it.
+        pieces = [piece(i) for i in range(self.b.get_piece_size()) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        self.cuts = not any("\n" in p or "▁" in p.lstrip("▁") for p in pieces) and not any(map(WORD_AND_MARK.search, pieces))
+        self.memory = Memory(self.learn, CACHE_STRETCHES)
+        ends = np.concatenate(([0], np.cumsum(list(map(len, self.b_bytes)))))
+        self.b_rows = pa.Array.from_buffers(pa.large_binary(), len(self.b_bytes), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(self.b_bytes))])
         self.space = self.b.piece_to_id("▁")
         rng = np.random.default_rng(11)
         self.a_hash, self.b_hash, self.powers = (rng.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for n in (len(self.a_bytes), len(self.b_bytes), 1 << 16))
 
-    def learn(self, some: set[str]) -> None:
-        """B ids of stretches, each beginning with the space that B adds, or with a line end."""
-        if len(self.new) > CACHE_STRETCHES:
-            self.old, self.new = self.new, {"": b""}
-        new = []
-        for p in some:
-            if p not in self.new:
-                if p in self.old:
-                    self.new[p] = self.old[p]
-                else:
-                    new.append(p)
-        for p, ids in zip(new, self.b.encode([p[1:] if p[0] == " " else p for p in new], num_threads=1), strict=True):
-            ids = ids[1:] if p[0] != " " and ids and ids[0] == self.space else ids
-            self.new[p] = np.array(ids, "<u4").tobytes() if b"".join(map(self.b_bytes.__getitem__, ids)) == p.encode("utf-8", "surrogatepass") else None
+    @property
+    def new(self) -> Pool:
+        return self.memory.new
+
+    @property
+    def old(self) -> Pool:
+        return self.memory.old
+
+    def learn(self, some: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """B ids of different stretches and of marks after a word. A stretch begins with the space that B adds, or with a line end. Where the ids aren't those of the stretch alone, NONE is the only one."""
+        some = sorted(some, key=lambda p: p[:1] not in (" ", "\n"))
+        n_marks = sum(p[:1] not in (" ", "\n") for p in some)
+        lead = self.b.encode("a")
+        marks = some[len(some) - n_marks :]
+        found = self.b.encode([p[1:] if p[0] == " " else p for p in some[: len(some) - n_marks]], num_threads=1)
+        found = [ids[1:] if p[0] != " " and ids and ids[0] == self.space else ids for p, ids in zip(some, found)]
+        found += [ids[len(lead) :] if ids[: len(lead)] == lead else [] for ids in self.b.encode(["a" + p for p in marks], num_threads=1)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+        text = pa.array(some, pa.large_string())
+        length = np.concatenate(([0], np.cumsum(self.b_length[ids], dtype=np.int64)))[np.concatenate(([0], np.cumsum(sizes)))]
+        same = np.diff(length) == pc.binary_length(text).to_numpy()
+        # Of those with the right length, the bytes are compared one by one.
+        kept = ids[np.repeat(same, sizes)]
+        got, want = self.b_rows.take(pa.array(kept)), text.filter(pa.array(same))
+        (got, _), (want, offsets) = (texts_buffer(x.view(pa.large_string()) if x.type == pa.large_binary() else x) for x in (got, want))
+        wrong = np.concatenate(([0], np.cumsum(got != want)))[offsets]
+        same[np.flatnonzero(same)[np.diff(wrong) > 0]] = False
+        out = np.where(same, sizes, 1)
+        values = np.full(int(out.sum()), NONE, "<u4")
+        values[np.repeat(same, out)] = ids[np.repeat(same, sizes)]
+        return some, values, out
 
     def whole(self, text: str) -> tuple[bytes, bytes]:
         """Ids of a text that isn't cut."""
@@ -78,29 +102,33 @@ class Tokenizers:
             return b"", b""
         return x.tobytes(), np.array(y, "<u4").tobytes()
 
+    def flat_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A ids of space+text of all texts, the number of them before each text and at the end, and the same of B; a text has none where it is empty or the joined bytes of A or B differ from space+text."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        empty = pc.binary_length(texts).to_numpy() == 0
+        if self.cuts and self.a_whole:
+            nothing, space = (pa.scalar(c, pa.large_string()) for c in ("", " "))
+            spaced = pc.if_else(pa.array(empty), nothing, pc.binary_join_element_wise(nothing, texts, space))
+            pieces, starts = self.a.cuts(spaced)
+            pieces = pieces.dictionary_encode()
+            parted = apart(pieces.dictionary)
+            (x, from_x), (y, from_y) = (flat(m.rows(*parted).take(pieces.indices)) for m in (self.a.memory, self.memory))
+            from_x, from_y = from_x[starts], from_y[starts]
+            none = np.concatenate(([0], np.cumsum(y == NONE)))[from_y]
+            odd = np.flatnonzero(np.diff(none)).tolist()
+        else:
+            x = y = np.zeros(0, "<u4")
+            from_x = from_y = np.zeros(len(texts) + 1, np.int64)
+            odd = np.flatnonzero(~empty).tolist()
+        other = [self.whole(texts[k].as_py()) for k in odd]
+        x, from_x = replaced(x, from_x, dict(zip(odd, (o[0] for o in other), strict=True)))
+        y, from_y = replaced(y, from_y, dict(zip(odd, (o[1] for o in other), strict=True)))
+        return x.astype(np.int32), from_x, y.astype(np.int32), from_y
+
     def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its A ids of space+text and its B ids; none where it is empty or the joined bytes of A or B differ from space+text."""
-        some = pa.array([" " + t if t and self.cuts and self.a_whole else "" for t in texts], pa.large_string())
-        cut, starts = self.a.cuts(some)
-        cut, starts = strings(cut), starts.tolist()
-        cut = [cut[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        pieces: set[str] = set()
-        for c in cut:
-            pieces.update(c)
-        self.learn(pieces)
-        own = list(pieces)
-        a = dict(zip(own, self.a.memory.rows(*apart(pa.array(own, pa.large_string()))).to_pylist(), strict=True)).__getitem__
-        b, out = self.new.__getitem__, []
-        for text, c in zip(texts, cut, strict=True):
-            y = list(map(b, c))
-            if not text:
-                x, y = b"", b""
-            elif not c or None in y:
-                x, y = self.whole(text)
-            else:
-                x, y = b"".join(map(a, c)), b"".join(y)
-            out.append((np.frombuffer(x, "<u4").astype(np.int32), np.frombuffer(y, "<u4").astype(np.int32)))
-        return out
+        """A ids of space+text and B ids for each text."""
+        x, from_x, y, from_y = self.flat_ids(pa.array(texts, pa.large_string()))
+        return [(x[a:b], y[c:d]) for a, b, c, d in zip(from_x[:-1], from_x[1:], from_y[:-1], from_y[1:], strict=True)]
 
     def links(self, group: tuple[tuple[int, ...], tuple[int, ...]]) -> list[tuple[int, int]]:
         """All pairs (A id, B id) of occurrences in the group of which the byte ranges overlap."""
@@ -152,6 +180,16 @@ def groups_of(x: np.ndarray, y: np.ndarray, t: Tokenizers) -> tuple[np.ndarray,
     return own[0], own[1], mix(hashes[0] * np.uint64(3) + hashes[1])
 
 
+def encoded(t: Tokenizers, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, A ids, their number before each text and at the end, B ids, likewise) of each block of a column; many blocks are encoded at once, so that words are looked up less often."""
+    _, offsets = texts_buffer(column)
+    for lo, hi in parts(offsets, _ENCODED):
+        x, from_x, y, from_y = t.flat_ids(column.slice(lo, hi - lo))
+        for low, high in parts(offsets[lo : hi + 1] - offsets[lo], BLOCK_BYTES):
+            a, b, c, d = from_x[low], from_x[high], from_y[low], from_y[high]
+            yield lo + low, x[a:b], from_x[low : high + 1] - a, y[c:d], from_y[low : high + 1] - c
+
+
 def _blocks(docs: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
     """Two tables of one written folder, told apart by ``kind``. 0: a document (block, doc_id, n_a, n_b, n_groups, n_links, groups_sha256) with the numbers (``at``) and counts (``times``) of its groups. 1: a distinct group of a
     block (block, no, key, times). A block is some MB of texts of one task."""
@@ -164,20 +202,14 @@ def _blocks(docs: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, task, number = _tokenizers(a, b), TaskContext.get().partitionId(), 0
         for batch in batches:
-            _, offsets = texts_buffer(batch.column(1))
-            for low, high in parts(offsets, BLOCK_BYTES):
-                block, n, number = (task << 32) + number, high - low, number + 1
-                found = []
-                for lo, hi in parts(offsets[low : high + 1], _ENCODED):
-                    found += t.ids([x or "" for x in batch.column(1).slice(low + lo, hi - lo).to_pylist()])
-                n_a, n_b = (np.fromiter((len(f[k]) for f in found), np.int64, n) for k in (0, 1))
-                x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            for low, x, from_x, y, from_y in encoded(t, batch.column(1)):
+                block, n, number = (task << 32) + number, len(from_x) - 1, number + 1
+                n_a, n_b = np.diff(from_x), np.diff(from_y)
                 of_x, of_y, h = groups_of(x, y, t)
                 at, known = pd.factorize(h)
                 first = np.empty(len(known), np.int64)
                 first[at[::-1]] = np.arange(len(h))[::-1]
                 # Where a text's tokens begin, a group does too.
-                from_x = np.concatenate(([0], np.cumsum(n_a)))
                 start = np.concatenate((of_x, [len(h)]))[np.minimum(from_x, len(of_x))]
                 n_groups = np.diff(start)
                 edges = [np.searchsorted(of, first.astype(of.dtype), side).tolist() for of in (of_x, of_y) for side in ("left", "right")]

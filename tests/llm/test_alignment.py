@@ -110,3 +110,25 @@ def test_both_caches_together_stay_small():
     assert max(len(c) for c in (t.a.new, t.a.old, t.new, t.old)) <= 150_000
     text = "the 1f 2e"
     assert [x.tobytes() for x in t.ids([text])[0]] == [x for x in t.whole(text)]
+
+
+def test_ids_of_many_texts_in_flat_arrays(both):
+    """Words with marks after them are looked up apart in both, and texts that B doesn't keep are found among others."""
+    import pyarrow as pa
+
+    t, rng = both[1], random.Random(5)
+    texts = [None, "", "ﬁne words. here!", "½", "plain words, with marks.%%%\nand a line", "m². x², don't. é.", "日本. 12.5, a_b_."]
+    texts += ["".join(rng.choice(ODD) for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    x, from_x, y, from_y = t.flat_ids(pa.array(texts))
+    for k, text in enumerate(texts):
+        a, b = t.whole(text) if text else (b"", b"")
+        assert x[from_x[k] : from_x[k + 1]].astype("<u4").tobytes() == a and y[from_y[k] : from_y[k + 1]].astype("<u4").tobytes() == b
+
+
+def test_words_with_marks_are_one_entry_of_both_caches():
+    from loomwork.llm import alignment
+
+    t = alignment.Tokenizers(A, B)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}é" for k in range(400)]
+    t.ids([" ".join(f"{w} {w}. {w}, {w}!!" for w in words)])
+    assert len(t.a.new) < 410 and len(t.new) < 410
