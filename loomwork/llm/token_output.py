@@ -16,6 +16,7 @@ from loomwork.llm.common import shared_dir
 from loomwork.llm.tokens import batches_of, flat_byte_ids
 
 END_ID = 2
+_TOGETHER_BYTES = 16 << 20
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, out: str, stripe_bytes: int = 16 << 20, index_rows: int = 2000) -> None:
@@ -30,7 +31,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, stripe_bytes: int =
         names = ["doc_id", "part", "part_start", "n", "ids"]
 
         for batch in batches:
-            for low, texts in batches_of(batch.column(1)):
+            for low, texts in batches_of(batch.column(1), _TOGETHER_BYTES):
                 found, bounds = flat_byte_ids(tokenizer, texts)
                 ends = bounds + np.arange(len(bounds))  # with an END_ID after each text
                 ids = np.empty(ends[-1], np.int32)

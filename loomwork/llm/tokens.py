@@ -19,7 +19,6 @@ from loomwork.llm.common import parts, texts_buffer
 
 #: Pieces of one generation of the cache; when it is full it becomes the old one, and pieces still in use move on.
 CACHE_PIECES = 300_000
-TEXTS_BYTES = 16 << 20
 _TOGETHER = 500
 
 #: White space as Python's \s has it, written out.
@@ -286,8 +285,8 @@ def flat_byte_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _encoder(path, " ").flat_ids(texts)
 
 
-def batches_of(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, texts) of stretches of a string column of some MB: the more at once, the fewer words are looked up again."""
+def batches_of(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of stretches of a string column of about ``most`` bytes: the more at once, the fewer words are looked up again, but the more memory a worker keeps for later stages."""
     _, offsets = texts_buffer(column)
-    for low, high in parts(offsets, TEXTS_BYTES):
+    for low, high in parts(offsets, most):
         yield low, column.slice(low, high - low)
