@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,6 +64,33 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+# --- memory of a worker ------------------------------------------------------------------
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system. A Python worker lives on for later tasks and stages, and what its allocators keep counts for its executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+def lean(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives memory back after each batch and at its end."""
+
+    @wraps(each)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                give_back()
+
+        yield from each(given())
+        give_back()
+
+    return run
+
+
 # --- words of many texts at once -----------------------------------------------------------
 
 _FOLD = np.zeros(256, np.uint8)

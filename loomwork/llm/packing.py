@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import pinned
-from loomwork.llm.tokens import batches_of, word_ids
+from loomwork.llm.common import lean, pinned
+from loomwork.llm.tokens import batches_of, forget, word_ids
 
 END_ID = 1
 
@@ -57,9 +57,10 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, slack: float = 0.08)
                         number[k] += 1
                         at += size
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
+        forget(path, "")
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, k bigint, task bigint, number bigint"
-    pieces = pinned(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(each, schema))
+    pieces = pinned(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lean(each), schema))
     counts = pieces.groupBy("k", "task").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("k").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))

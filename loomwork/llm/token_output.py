@@ -12,11 +12,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import shared_dir
-from loomwork.llm.tokens import batches_of, flat_byte_ids
+from loomwork.llm.common import lean, shared_dir
+from loomwork.llm.tokens import batches_of, flat_byte_ids, forget
 
 END_ID = 2
-_TOGETHER_BYTES = 16 << 20
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, out: str, stripe_bytes: int = 16 << 20, index_rows: int = 2000) -> None:
@@ -26,28 +25,31 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, stripe_bytes: int =
     file; a null doc_id comes first. Stripes let readers split files; min/max row indexes and Bloom filters prune by doc_id.
     """
 
+    def encoded(doc_ids: pa.Array, texts: pa.Array, part: int, at: int) -> pa.RecordBatch:
+        found, bounds = flat_byte_ids(tokenizer, texts)
+        ends = bounds + np.arange(len(bounds))  # with an END_ID after each text
+        ids = np.empty(ends[-1], np.int32)
+        last = np.zeros(len(ids), bool)
+        last[ends[1:] - 1] = True
+        ids[last], ids[~last] = END_ID, found
+        columns = [doc_ids, pa.array([part] * len(texts), pa.int32()), pa.array(at + ends[:-1]), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "part_start", "n", "ids"])
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        names = ["doc_id", "part", "part_start", "n", "ids"]
-
         for batch in batches:
-            for low, texts in batches_of(batch.column(1), _TOGETHER_BYTES):
-                found, bounds = flat_byte_ids(tokenizer, texts)
-                ends = bounds + np.arange(len(bounds))  # with an END_ID after each text
-                ids = np.empty(ends[-1], np.int32)
-                last = np.zeros(len(ids), bool)
-                last[ends[1:] - 1] = True
-                ids[last], ids[~last] = END_ID, found
-                m = len(texts)
-                columns = [batch.column(0).slice(low, m), pa.array([part] * m, pa.int32()), pa.array(at + ends[:-1]), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
-                at += len(ids)
-                yield pa.RecordBatch.from_arrays(columns, names)
+            for low, texts in batches_of(batch.column(1)):
+                rows = encoded(batch.column(0).slice(low, len(texts)), texts, part, at)
+                at += len(rows["ids"].values)
+                yield rows
+                del rows  # not held while the next texts are encoded
+        forget(tokenizer, " ")
 
     ordered = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    encoded = ordered.mapInArrow(each, "doc_id bigint, part int, part_start bigint, n bigint, ids array<int>")
+    written = ordered.mapInArrow(lean(each), "doc_id bigint, part int, part_start bigint, n bigint, ids array<int>")
     (
-        encoded.write.option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", index_rows).option("compression", "zstd")
+        written.write.option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", index_rows).option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01).orc(out)
     )
 
@@ -74,7 +76,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
                 ["doc_id", "part", "part_start", "n_tokens", "ids_crc32"],
             )
 
-    rows = read_tokens(spark, path).mapInArrow(each, "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = read_tokens(spark, path).mapInArrow(lean(each), "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids_crc32 bigint")
     sums = read_tokens(spark, path).groupBy("part").agg(F.max(F.col("part_start") + F.col("n")).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.join(sums.select("part", before.alias("before")), "part")

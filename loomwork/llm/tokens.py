@@ -148,7 +148,8 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         self.special = [x.content.lower() for x in self.t.get_added_tokens_decoder().values()]
         self.mark = commonprefix(self.special)
-        self.lead, self.memory = lead, Memory(self.learn, most)
+        self.lead, self.most = lead, most
+        self.forget()
         self.simple = rf"^[ \n]{'' if lead else '?'}[A-Za-z{_LATIN}]+\z"
         self.fold = np.arange(256, dtype=np.uint8)
         if not lead:  # white space and case are dropped anyway
@@ -163,6 +164,9 @@ class Encoder:
             edge[i] = token.startswith("Ġ") if lead else token.endswith("</w>")
         self.edge = edge
 
+    def forget(self) -> None:
+        self.memory = Memory(self.learn, self.most)
+
     @property
     def new(self) -> Pool:
         return self.memory.new
@@ -266,6 +270,11 @@ def _encoder(path: str, lead: str) -> Encoder:
     return Encoder(path, lead)
 
 
+def forget(path: str, lead: str) -> None:
+    """The ids of pieces are remembered for one task: a worker that waits, or works for another stage, keeps the tokenizer alone."""
+    _encoder(path, lead).forget()
+
+
 def word_ids(path: str, texts: list[str]) -> list[bytes]:
     """Little-endian 32-bit ids of texts by a tokenizer that drops white space and case and marks the ends of words: those of the plain library call, in which the string of a special token is that token."""
     return _encoder(path, "").ids(texts)

@@ -202,3 +202,22 @@ def test_pieces_in_use_move_to_the_next_generation():
         text = "always here. " + " ".join(f"x{k * 150 + j}" for j in range(150))
         assert np.frombuffer(e.ids([text])[0], "<u4").tolist() == PLAIN_BYTE(text)
     assert max(len(e.new), len(e.old)) < 400 and " here" in e.new.at
+
+
+def test_a_worker_keeps_no_ids_of_pieces_after_its_task(spark, tmp_path):
+    rows = [(k, f"word{k} other{k}") for k in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+
+    def kept(batches):
+        import pyarrow as pa
+
+        from loomwork.llm.tokens import _encoder
+
+        for _ in batches:
+            sizes = [len(pool) for path, lead in ((BYTE, " "), (WORD, "")) for e in [_encoder(path, lead)] for pool in (e.new, e.old)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(sizes)])], ["n"])
+
+    write_tokens(docs, BYTE, str(tmp_path / "ids"))
+    pack(docs, WORD).count()
+    left = [r["n"] for r in docs.repartition(8).mapInArrow(kept, "n long").collect()]
+    assert left and not any(left)
