@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import parts, texts_buffer
+from loomwork.llm.common import lean, parts, texts_buffer
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -215,4 +215,4 @@ def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
             out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield out.filter(pa.array((np.array(names, object) != UNKNOWN) & (score >= least)))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(lean(each), docs.schema)

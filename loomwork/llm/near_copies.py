@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import connected_components, deal, mix, parts, pinned, shingles, short_lived, texts_buffer, words
+from loomwork.llm.common import connected_components, deal, lean, mix, parts, pinned, shingles, short_lived, texts_buffer, words
 from loomwork.llm.simhash_dedup import links as simhash_links
 
 SHINGLE = 5
@@ -130,7 +130,7 @@ def heavy_shingles(docs: DataFrame, most: int = 100_000) -> np.ndarray:
                 s, _ = shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], np.zeros(0, np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["s"])
 
-    often = some.mapInArrow(found, "s bigint").groupBy("s").count().where("count >= 5").orderBy(F.desc("count"), "s").limit(most)
+    often = some.mapInArrow(lean(found), "s bigint").groupBy("s").count().where("count >= 5").orderBy(F.desc("count"), "s").limit(most)
     return np.sort(np.array([r["s"] for r in often.select("s").collect()], np.int64).view(np.uint64))
 
 
@@ -314,7 +314,7 @@ def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     marks = wanted.select(place.alias("p")).groupBy(F.expr("p >> 6").alias("w")).agg(F.bit_or(bit).alias("marks"))
     known = docs.select("text", F.xxhash64("text").alias("t")).withColumn("p", place).withColumn("w", F.expr("p >> 6"))
     known = known.join(F.broadcast(marks), "w").where(F.col("marks").bitwiseAND(bit) != 0)  # at most FILTER_BITS / 64 rows
-    return known.select("text", "t").mapInArrow(each, "t bigint, z binary")
+    return known.select("text", "t").mapInArrow(lean(each), "t bigint, z binary")
 
 
 def _by_sketch(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -330,7 +330,7 @@ def _by_sketch(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     sized = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
-    return sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(near, "a bigint, b bigint")
+    return sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(lean(near), "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, least: float, load: int = CHUNK_LOAD) -> DataFrame:
@@ -386,7 +386,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, least: float,
                                 out_a.append(min(key, x)), out_b.append(max(key, x))
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    return some.mapInArrow(check, "a bigint, b bigint")
+    return some.mapInArrow(lean(check), "a bigint, b bigint")
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -420,7 +420,7 @@ def copy_classes(docs: DataFrame, heavy: np.ndarray, least: float) -> DataFrame:
                 fp = set_fingerprints(s, bounds).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(keys), pa.array(n.astype(np.int32)), pa.array(fp), *(pa.array(x, pa.list_(pa.int64())) for x in (sketch, wide, first))], ["doc_id", "t", "key", "n", "fp", "sketch", "wide", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("t")).mapInArrow(each, "doc_id bigint, t bigint, key bigint, n int, fp bigint, sketch array<bigint>, wide array<bigint>, prefix array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("t")).mapInArrow(lean(each), "doc_id bigint, t bigint, key bigint, n int, fp bigint, sketch array<bigint>, wide array<bigint>, prefix array<bigint>")
 
 
 @short_lived
@@ -450,7 +450,7 @@ def near_copy_groups(docs: DataFrame, least: float = 0.8, most: int = 4, tile: i
         for t in _runs(batches, "g"):
             yield from _pairs(t, least)
 
-    met = pinned(cut.repartition("s").sortWithinPartitions("s", "n", "key").mapInArrow(first, "a bigint, b bigint, g bigint, key bigint, n int, i int"))
+    met = pinned(cut.repartition("s").sortWithinPartitions("s", "n", "key").mapInArrow(lean(first), "a bigint, b bigint, g bigint, key bigint, n int, i int"))
     classes = pinned(rows.where("prefix is not null").groupBy("fp").agg(F.min("key").alias("id"), F.max("key").alias("other")))
     alike = simhash_links(classes.select("id", "fp"), most, tile=tile, direct=True).unionAll(classes.where("id <> other").select("id", "other"))
     sketches = rows.where("sketch is not null").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "wide")])
@@ -468,7 +468,7 @@ def near_copy_groups(docs: DataFrame, least: float = 0.8, most: int = 4, tile: i
     open_ = pinned(named.withColumnRenamed("g", "v").join(mixed, "v", "left_semi").withColumn("before", F.collect_list("v").over(last)))
     dealt = deal(open_, "v", "key", tile).join(sketches.select("key", "sketch"), "key")
     rest = dealt.select("g", "key", "n", "i", "label", "side", "before", "sketch").repartition("g").sortWithinPartitions("g", "n", "key")
-    more = _verified(_by_sketch(rest.mapInArrow(found, "a bigint, b bigint"), sketches, least), rows, docs, least)
+    more = _verified(_by_sketch(rest.mapInArrow(lean(found), "a bigint, b bigint"), sketches, least), rows, docs, least)
     comp = connected_components(links.union(more))
     grouped = rows.select("doc_id", "t", "key").join(comp, F.col("key") == F.col("node"), "left")
     return grouped.select("doc_id", "t", "key", F.coalesce("component", "key").alias("group"))
