@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from loomwork.operators import graphs as g
 from loomwork.plans.views import Tables
 
 TEXTS = ["the cat, the mat and a hat sat", "", "123 456", "頻寬", "the", None, "One  Two\nthree_four5five six SEVEN", "...", "a" * 9, "99 bottles", "Élan vital", "the end"]
@@ -19,7 +20,7 @@ def folder(spark, tmp_path_factory):
     return str(top)
 
 
-@pytest.mark.parametrize("name", ["graph_detach_delete", "graph_orphan_prune", "graph_stats", "join_zone_entity", "q_contribution", "topk_rank_boosts"])
+@pytest.mark.parametrize("name", ["graph_detach_delete", "graph_orphan_prune", "graph_stats", "join_zone_entity", "q_contribution", "graph_related_docs", "topk_rank_boosts"])
 def test_query_equals_its_sql_on_odd_documents(spark, folder, name):
     duck = duckdb.connect()
     for t in ("documents", "labels"):
@@ -35,3 +36,10 @@ def test_texts_stay_out_of_the_join_with_labels(spark, folder):
     """Before, whole texts were shuffled for their first words."""
     plan = Tables(spark, folder).document.select("doc_id", "title", "topics", "eligible")._jdf.queryExecution().optimizedPlan().toString()
     assert "AS title" in plan[plan.index("Join LeftOuter") :]
+
+
+def test_only_the_others_asked_for_are_met(spark):
+    edges = spark.createDataFrame([(i, "hot") for i in range(50)] + [(1, "x"), (7, "x")], "d long, t string")
+    asked, others = spark.createDataFrame([(1,), (2,)], "d long"), spark.createDataFrame([(7,), (2,)], "d long")
+    got = {tuple(row) for row in g.shared_neighbours(edges, asked, "d", "t", others).collect()}
+    assert got == {(1, 7, 2), (1, 2, 1), (2, 7, 1)}
