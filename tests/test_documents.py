@@ -20,7 +20,7 @@ def folder(spark, tmp_path_factory):
     return str(top)
 
 
-@pytest.mark.parametrize("name", ["graph_detach_delete", "graph_orphan_prune", "graph_stats", "join_zone_entity", "q_contribution", "graph_related_docs", "topk_rank_boosts"])
+@pytest.mark.parametrize("name", ["graph_detach_delete", "graph_orphan_prune", "graph_stats", "join_zone_entity", "q_contribution", "graph_related_docs", "graph_version_closure", "topk_rank_boosts"])
 def test_query_equals_its_sql_on_odd_documents(spark, folder, name):
     duck = duckdb.connect()
     for t in ("documents", "labels"):
@@ -43,3 +43,10 @@ def test_only_the_others_asked_for_are_met(spark):
     asked, others = spark.createDataFrame([(1,), (2,)], "d long"), spark.createDataFrame([(7,), (2,)], "d long")
     got = {tuple(row) for row in g.shared_neighbours(edges, asked, "d", "t", others).collect()}
     assert got == {(1, 7, 2), (1, 2, 1), (2, 7, 1)}
+
+
+def test_rounds_of_components_keep_estimates_small(spark):
+    """Before, the estimate of a round was multiplied into the next: a number of ever more digits."""
+    chain = spark.range(600).selectExpr("id AS a", "id + 1 AS b")
+    plan = g.components(chain)._jdf.queryExecution().optimizedPlan()
+    assert len(str(plan.stats().sizeInBytes())) < 30
